@@ -129,9 +129,9 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     """
     groups = max(1, round(table.count() / group))
 
-    def one(key, rows: pa.Table) -> pa.Table:
+    def one(rows: pa.Table) -> pa.Table:
         where, offset = assign(rows.column("length").to_numpy(), capacity)
-        base = key[0].as_py() << 32
+        base = rows.column("_group")[0].as_py() << 32
         return rows.drop_columns(["_group"]).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
 
     dealt = table.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges of the key hash in which slots are counted separately, for each shard.
-RANGES = 4096
+#: Slots are counted separately in 2**RANGE_BITS ranges of the key hash, for each shard.
+RANGE_BITS = 12
 _HEX = 13  # hex digits of a digest that a double holds exactly
 
 
@@ -44,9 +44,9 @@ def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Se
 def numbered(rows: DataFrame, key: str, ties: Sequence[str] = ()) -> DataFrame:
     """Adds `slot`, gapless from 0 in each shard, in the order of the key's hash, then key, then `ties`.
 
-    Rows are numbered inside hash ranges; the ranges' sizes (RANGES rows a shard, whatever the input) give the offsets.
+    Rows are numbered inside hash ranges; the ranges' sizes (at most 2**RANGE_BITS rows a shard, whatever the input) give the offsets.
     """
-    ranged = rows.withColumn("_hash", key_hash(F.col(key))).withColumn("_range", F.floor(F.col("_hash") * F.lit(RANGES) / F.lit(16**_HEX)).cast("int"))
+    ranged = rows.withColumn("_hash", key_hash(F.col(key))).withColumn("_range", F.shiftright("_hash", 4 * _HEX - RANGE_BITS).cast("int"))
     sizes = ranged.groupBy("shard", "_range").count()
     before = F.sum("count").over(W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("shard", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
