@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findling.llm import decontamination, idfiles, media, packing, sharding, substrings
+from findling.llm import decontamination, idfiles, media, packing, sharding, simhash, substrings
 from findling.llm.common import staged
 
 
@@ -38,5 +38,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_shards, op4_bitplane_files, op5_best_two_fit, op7_substring_dedup, op8_media_png, op9_decontamination)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_shards, op4_bitplane_files, op5_best_two_fit, op7_substring_dedup, op8_media_png, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
