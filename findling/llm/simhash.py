@@ -26,6 +26,8 @@ SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = 32
 #: Rows of a cell that are compared in one task; larger cells are dealt to pairs of parts.
 CELL = 1 << 16
+#: Large cells are joined by broadcast up to so many (20 bytes each).
+BROADCAST = 100_000
 LINKS = "a long, b long"
 _HALF = 1 << 15  # shingles summed at once
 
@@ -149,14 +151,36 @@ def small_cells(prints: np.ndarray, edges: np.ndarray, distance: int, most: int)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def stars(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a forest as stars: each node with the smallest of its tree. Cells that hold the same group then give the
+    same links, which count once."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for a, b in pairs:
+        a, b = root(int(nodes[a])), root(int(nodes[b]))
+        above[max(a, b)] = min(a, b)
+    own = [(x, root(x)) for x in above]
+    return np.array([r for _, r in own], np.int64), np.array([x for x, _ in own], np.int64)
+
+
 def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
     """Links (node a, node b) inside the cells of rows (c0, c1, node, w0, ...)."""
     keys, own_words = ["c0", "c1"], [f"w{k}" for k in range(words)]
-    large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
     # Rows of a cell of n rows go to k = ceil(n / CELL) parts, and each pair of parts, also of a part with itself, is a task's.
-    parts = large.select(*keys, F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+    parts = staged(large.select(*keys, F.ceil(F.col("n") / CELL).cast("int").alias("k")), "large-cells")
+    n_parts = parts.count()
+    if n_parts:
+        cells = cells.join(F.broadcast(parts) if n_parts <= BROADCAST else parts, keys, "left")
+    else:
+        cells = cells.withColumn("k", F.lit(1))
     k = F.coalesce("k", F.lit(1))
-    spread = cells.join(parts, keys, "left").withColumn("own", F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    spread = cells.withColumn("own", F.pmod(F.xxhash64("node"), k.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
     cell = F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("cell")
     # Two cells of one hash, if any, are compared as one: more pairs, the same links.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,9 +199,9 @@ def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
             for at in np.flatnonzero(np.diff(edges) > 12).tolist():
                 pairs = near(prints[edges[at] : edges[at + 1]], distance)
                 if pairs:
-                    x, y = np.array(pairs).T + edges[at]
-                    a.append(nodes[x])
-                    b.append(nodes[y])
+                    x, y = stars(nodes[edges[at] : edges[at + 1]], pairs)
+                    a.append(x)
+                    b.append(y)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
         for batch in batches:  # the last cell of a batch may go on in the next
