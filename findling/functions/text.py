@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,13 +61,19 @@ def lower_words(c: Column) -> Column:
     return words(F.lower(present(c)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def term_counts(tokens: Column) -> Column:
     """Array of (term, tf), ordered by term. Counted in the row by a sort, so that no shuffle is needed."""
-    s = F.array_sort(tokens)
-    n = F.size(s)
-    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    pairs = F.transform(firsts, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(firsts, k + 1), n) - i).alias("tf")))
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+    def of_sorted(s: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(firsts, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return let(F.array_sort(tokens), of_sorted)
 
 
 def clean(c: Column) -> Column:

@@ -53,7 +53,11 @@ def _count(c: Column) -> Column:
 def with_sections(docs: DataFrame) -> DataFrame:
     """Adds `body` (text with LF line ends) and `sections` to docs(..., full_text)."""
     body = docs.withColumn("body", tx.unix_lines(F.col("full_text")))
-    marks = F.concat(*(F.transform(spans(F.col("body"), p), lambda m, kind=kind, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("n"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), tx.strip(m["found"]).alias("heading"))) for k, (kind, p) in enumerate(HEADER_PATTERNS.items())))
+
+    def marks_of(n: int, kind: str, pattern: str) -> Column:
+        return F.transform(spans(F.col("body"), pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("n"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), tx.strip(m["found"]).alias("heading")))
+
+    marks = F.concat(*(marks_of(n, kind, p) for n, (kind, p) in enumerate(HEADER_PATTERNS.items())))
     marked = body.withColumn("_marks", F.array_sort(marks))
     m, size = F.col("_marks"), F.length("body")
 
