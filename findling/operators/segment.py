@@ -6,6 +6,8 @@ Spark gives no match offsets. They follow from the texts between the matches (sp
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ SECTIONS = "array<struct<segment_id:string,segment_type:string,heading:string,st
 PARAGRAPHS = "array<struct<segment_id:string,heading:string,start_char:int,end_char:int,text:string,word_count:int,section_affinity:string,fallback_split:boolean>>"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows as they are, behind a row counter. The optimizer would otherwise put the definition of an array column into every
+    lambda that reads it, and so compute it for each element."""
+    return rows.observe(f"segment-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("n"))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, found>> of all matches, from one pass over the texts between them."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
@@ -52,13 +60,13 @@ def _count(c: Column) -> Column:
 
 def with_sections(docs: DataFrame) -> DataFrame:
     """Adds `body` (text with LF line ends) and `sections` to docs(..., full_text)."""
-    body = docs.withColumn("body", tx.unix_lines(F.col("full_text")))
+    body = kept(docs.withColumn("body", tx.unix_lines(F.col("full_text"))))
 
     def marks_of(n: int, kind: str, pattern: str) -> Column:
         return F.transform(spans(F.col("body"), pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("n"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), tx.strip(m["found"]).alias("heading")))
 
     marks = F.concat(*(marks_of(n, kind, p) for n, (kind, p) in enumerate(HEADER_PATTERNS.items())))
-    marked = body.withColumn("_marks", F.array_sort(marks))
+    marked = kept(body.withColumn("_marks", F.array_sort(marks)))
     m, size = F.col("_marks"), F.length("body")
 
     def section(x: Column, i: Column) -> Column:
@@ -73,13 +81,13 @@ def with_sections(docs: DataFrame) -> DataFrame:
     first = F.get(m, F.lit(0))["start"]
     lead = (first > 100) & (F.length(tx.strip(F.substring(F.col("body"), F.lit(1), first))) > 30)
     found = F.concat(F.when(lead, F.array(whole("SEC-000", "PREAMBLE", first, False))).otherwise(F.array().cast(SECTIONS)).cast(SECTIONS), F.transform(m, section).cast(SECTIONS))
-    return marked.withColumn("sections", F.when(F.size(m) > 0, found).otherwise(F.array(whole("SEC-001", "BODY", size, True)).cast(SECTIONS))).drop("_marks")
+    return kept(marked.withColumn("sections", F.when(F.size(m) > 0, found).otherwise(F.array(whole("SEC-001", "BODY", size, True)).cast(SECTIONS))).drop("_marks"))
 
 
 def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
     """Adds `paragraphs`: numbered ones if there are two at least, else blocks between empty lines outside the claims. The last
     numbered paragraph runs to the end of the text; with stop_at_claims, to the claims."""
-    marked = docs.withColumn("_marks", spans(F.col("body"), PARAGRAPH_MARK))
+    marked = kept(docs.withColumn("_marks", spans(F.col("body"), PARAGRAPH_MARK)))
     m, sections = F.col("_marks"), F.col("sections")
     claims = F.get(F.filter(sections, lambda s: s["segment_type"] == "CLAIMS"), F.lit(0))["start_char"]
     end = F.least(F.length("body"), F.coalesce(claims, F.length("body"))) if stop_at_claims else F.length("body")
@@ -97,8 +105,8 @@ def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
     def plain(x: Column, i: Column) -> Column:
         return F.struct(F.format_string("PAR-%04d", i + 1).alias("segment_id"), F.format_string("Paragraph %d", i + 1).alias("heading"), F.lit(0).alias("start_char"), F.length(x["text"]).alias("end_char"), x["text"].alias("text"), _count(x["text"]).alias("word_count"), x["home"].alias("section_affinity"), F.lit(True).alias("fallback_split"))
 
-    kept = F.filter(F.transform(m, numbered).cast(PARAGRAPHS), lambda p: p["text"] != "")
-    return marked.withColumn("paragraphs", F.when(F.size(m) >= 2, kept).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))).drop("_marks")
+    own = F.filter(F.transform(m, numbered).cast(PARAGRAPHS), lambda p: p["text"] != "")
+    return kept(marked.withColumn("paragraphs", F.when(F.size(m) >= 2, own).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))).drop("_marks"))
 
 
 def with_claims(docs: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def with_claims(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.when(of_section != "", of_section), of_header, F.lit(""))
     cut = F.split(F.regexp_replace(text, CLAIM_MARK, "\u0001$1\u0002"), "\u0001")
     parts = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda p: F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).try_cast("long").alias("claim_id"), tx.strip(F.get(F.split(tx.strip(F.split_part(p, F.lit("\u0002"), F.lit(2))), CLAIM_END, 2), F.lit(0))).alias("text")))
-    split = docs.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != "")))
+    split = kept(docs.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != ""))))
 
     def phrase(c: Column) -> Column:
         out = F.lit("")
@@ -116,12 +124,12 @@ def with_claims(docs: DataFrame) -> DataFrame:
             out = F.when(c.rlike(rf"(?iU)\b{p}\b"), F.lit(p)).otherwise(out)
         return out
 
-    phrased = split.withColumn("_phrased", F.transform("_parts", lambda c: F.struct(c["claim_id"].alias("claim_id"), c["text"].alias("text"), phrase(c["text"]).alias("phrase"))))
+    phrased = kept(split.withColumn("_phrased", F.transform("_parts", lambda c: F.struct(c["claim_id"].alias("claim_id"), c["text"].alias("text"), phrase(c["text"]).alias("phrase")))))
 
     def around(c: Column) -> Column:
         return F.when(c["phrase"] == "", F.array(F.lit(""), F.lit(""))).otherwise(F.split(c["text"], F.concat(F.lit(r"(?iU)\b"), c["phrase"], F.lit(r"\b")), 2))
 
-    sided = phrased.withColumn("_sided", F.transform("_phrased", lambda c: F.struct(*(c[k].alias(k) for k in ("claim_id", "text", "phrase")), around(c).alias("sides"))))
+    sided = kept(phrased.withColumn("_sided", F.transform("_phrased", lambda c: F.struct(*(c[k].alias(k) for k in ("claim_id", "text", "phrase")), around(c).alias("sides")))))
 
     def claim(c: Column) -> Column:
         parents = F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c["text"], F.lit(CITED_CLAIM), F.lit(1)), lambda x: x.try_cast("long")), lambda x: x != c["claim_id"])))
@@ -134,7 +142,7 @@ def with_claims(docs: DataFrame) -> DataFrame:
             F.when(before == "", tx.strip(F.split_part(c["text"], F.lit(","), F.lit(1)))).otherwise(before).alias("preamble"), c["phrase"].alias("transitional_phrase"), limits.alias("limitations"), F.size(limits).alias("limitations_count"), c["text"].alias("text"), _count(c["text"]).alias("word_count"),
         )
 
-    return sided.withColumn("claims", F.transform("_sided", claim)).drop("_parts", "_phrased", "_sided")
+    return kept(sided.withColumn("claims", F.transform("_sided", claim)).drop("_parts", "_phrased", "_sided"))
 
 
 def segmented(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:

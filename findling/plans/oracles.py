@@ -126,9 +126,11 @@ spec AS MATERIALIZED (SELECT doc_id, {title(clean("text"))} AS title, l, l[1] AS
 parts AS MATERIALIZED (SELECT *, 9 + length(f) AS s2, 9 + length(f) + 13 + length(body) AS s3,
   'What is claimed is:' || chr(10) || '1. ' || c1 || chr(10) || '2. ' || c2 AS ctext FROM spec),
 whole AS MATERIALIZED (SELECT *, 'ABSTRACT' || chr(10) || f || chr(10) || chr(10) || 'BACKGROUND' || chr(10) || body || chr(10) || chr(10) || 'CLAIMS' || chr(10) || ctext AS full_text FROM parts)"""
+# With one line there is one number only, so the blocks of the first two sections count if they are long enough.
 PARS = f"""ends AS (SELECT *, list_transform(l, lambda x: length(x) + 8) AS sizes FROM whole),
-pars AS MATERIALIZED (SELECT doc_id, title, i, n, '[' || lpad(i::VARCHAR, 4, '0') || ']' AS mark, CASE WHEN i = 1 THEN s2 + 12 ELSE s2 + 13 - 1 + at END AS start_char, CASE WHEN i < n THEN s2 + 13 - 1 + at + sizes[i] ELSE length(full_text) END AS end_char,
-  CASE WHEN i < n THEN l[i] ELSE l[i] || chr(10) || chr(10) || 'CLAIMS' || chr(10) || ctext END AS own FROM (SELECT *, len(l) AS n, unnest(range(1, len(l) + 1)) AS i, unnest(list_transform(range(0, len(l)), lambda k: coalesce(list_sum(sizes[1:k]), 0)::BIGINT)) AS at FROM ends))"""
+pars AS MATERIALIZED (SELECT doc_id, title, i, '[' || lpad(i::VARCHAR, 4, '0') || ']' AS mark, 'BACKGROUND' AS home, CASE WHEN i = 1 THEN s2 + 12 ELSE s2 + 12 + off END AS start_char, CASE WHEN i < n THEN s2 + 12 + off + sizes[i] ELSE length(full_text) END AS end_char,
+  CASE WHEN i < n THEN l[i] ELSE l[i] || chr(10) || chr(10) || 'CLAIMS' || chr(10) || ctext END AS own FROM (SELECT *, len(l) AS n, unnest(range(1, len(l) + 1)) AS i, unnest(list_transform(range(0, len(l)), lambda k: coalesce(list_sum(sizes[1:k]), 0)::BIGINT)) AS off FROM ends) WHERE n > 1
+  UNION ALL SELECT doc_id, title, i, 'Paragraph ' || i, home, 0, length(own), own FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, title, 1 AS k, 'ABSTRACT' AS home, f AS own FROM whole WHERE len(l) = 1 UNION ALL SELECT doc_id, title, 2, 'BACKGROUND', body FROM whole WHERE len(l) = 1) WHERE length(own) > 60))"""
 CLAIMS = f"""cl AS MATERIALIZED (SELECT doc_id, title, 1 AS claim_id, 'INDEPENDENT' AS claim_type, 'A method' AS preamble, 'comprising' AS transitional_phrase, c1 AS own, list_filter(list_transform(string_split(f || ';' || chr(10) || 'a second step of it.', ';'), lambda x: {strip("x")}), lambda x: length(x) > 10) AS lims FROM whole
   UNION ALL SELECT doc_id, title, 2, 'DEPENDENT', 'The method of claim 1', '', c2, [c2] FROM whole)"""
 PASSAGES = """pas AS MATERIALIZED (SELECT doc_id, doc_id || '-PAR-' || lpad(i::VARCHAR, 4, '0') AS passage_id, 'PARAGRAPH' AS segment_type, 'Title: ' || title || chr(10) || '[' || mark || ']: ' || own AS text FROM pars
@@ -204,12 +206,12 @@ SQL: dict[str, str] = {
     "p95_interpolated": "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "fallback_sections": f"SELECT doc_id, 'SEC-001' AS segment_id, 'OTHER' AS segment_type, 'BODY' AS heading, 0 AS start_char, length(t)::INT AS end_char, len({words('t')})::INT AS word_count, md5({strip('t')}) AS text_md5, true AS fallback FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "sections": f"WITH {SPEC} SELECT {SEG_COLUMNS} FROM (SELECT doc_id, 'SEC-001' AS segment_id, 'ABSTRACT' AS segment_type, 'ABSTRACT' AS heading, 0 AS start_char, s2::INT AS end_char, len({words('f')})::INT AS word_count, md5(f) AS text_md5 FROM whole UNION ALL SELECT doc_id, 'SEC-002', 'BACKGROUND', 'BACKGROUND', s2::INT, s3::INT, len({words('body')})::INT, md5(body) FROM whole UNION ALL SELECT doc_id, 'SEC-003', 'CLAIMS', 'CLAIMS', s3::INT, length(full_text)::INT, len({words('ctext')})::INT, md5(ctext) FROM whole)",
-    "paragraphs": f"WITH {SPEC}, {PARS} SELECT doc_id, 'PAR-' || lpad(i::VARCHAR, 4, '0') AS segment_id, mark AS heading, start_char::INT AS start_char, end_char::INT AS end_char, 'BACKGROUND' AS section_affinity, len({words('own')})::INT AS word_count, md5(own) AS text_md5 FROM pars",
+    "paragraphs": f"WITH {SPEC}, {PARS} SELECT doc_id, 'PAR-' || lpad(i::VARCHAR, 4, '0') AS segment_id, mark AS heading, start_char::INT AS start_char, end_char::INT AS end_char, home AS section_affinity, len({words('own')})::INT AS word_count, md5(own) AS text_md5 FROM pars",
     "claims": f"WITH {SPEC}, {CLAIMS} SELECT doc_id, claim_id, claim_type, preamble, transitional_phrase, len(lims)::INT AS limitations_count, md5(own) AS text_md5 FROM cl",
     "claim_edges": f"WITH {SPEC} SELECT doc_id, 2 AS claim_id, 1 AS parent_id FROM whole",
     "limitations": f"WITH {SPEC}, {CLAIMS} SELECT doc_id, claim_id, (unnest(range(len(lims))))::INT AS n, md5(unnest(lims)) AS limitation_md5 FROM cl",
     "passages": f"WITH {SPEC}, {PARS}, {CLAIMS}, {PASSAGES} SELECT doc_id, passage_id, segment_type, md5(text) AS text_md5 FROM pas",
-    "segment_stats": f"WITH {SPEC} SELECT doc_id, length(full_text)::INT AS total_chars, len({words('full_text')})::INT AS total_words, 3 AS section_count, len(l)::INT AS paragraph_count, 2 AS claim_count, 1 AS independent_claims, 1 AS dependent_claims FROM whole",
+    "segment_stats": f"WITH {SPEC}, {PARS} SELECT doc_id, length(full_text)::INT AS total_chars, len({words('full_text')})::INT AS total_words, 3 AS section_count, (SELECT count(*) FROM pars WHERE pars.doc_id = whole.doc_id)::INT AS paragraph_count, 2 AS claim_count, 1 AS independent_claims, 1 AS dependent_claims FROM whole",
     "maxp_top10": f"WITH {bm25('c', f"SELECT conv_id || '-' || turn AS doc_id, {terms('text')} AS tokens FROM conversations", ITEM_TOKENS)}, par AS (SELECT conv_id || '-' || turn AS p, conv_id FROM conversations), x_s AS (SELECT query_id, conv_id AS doc_id, max(round(raw, 6)) AS raw, arg_min(c.doc_id, (-round(raw, 6), c.doc_id)) AS passage_id FROM c JOIN par ON par.p = c.doc_id GROUP BY query_id, conv_id), {top('x', 10, 'raw', more=', passage_id')} SELECT query_id, doc_id, rank::INT AS rank, score, passage_id FROM x",
     "structures": "SELECT doc_id::VARCHAR AS doc_id, 'No model client.' AS problem_statement, 'Rule-based fallback.' AS inventive_core, []::VARCHAR[] AS technical_elements, 'Unstructured text.' AS claim_summary, NULL::VARCHAR AS error FROM documents",
     "line_features": FEATURE_SQL,
