@@ -56,7 +56,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for word, k in words.items():
                     for g in grams(word, n):
                         found[g] += k
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "n": pa.array([n] * len(found), pa.int32()), "gram": pa.array(found.keys(), pa.string()), "k": pa.array(found.values(), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "n": pa.array([n] * len(found), pa.int32()), "gram": pa.array(found.keys(), pa.string()), "k": pa.array(found.values(), pa.int64())})
 
 
 class Model:

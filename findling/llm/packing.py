@@ -152,6 +152,8 @@ def sequences(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
     cut = staged(pieces(docs, vocabulary, capacity, with_ids=True), "pieces")
     placed = pack(cut.drop("ids"), capacity)
     keys = ["doc_id", "piece", "ids_crc32"]
-    joined = placed.join(cut.select(*keys, "ids").dropDuplicates(keys), keys)
+    held = cut.select(*(F.col(k).alias(f"_{k}") for k in keys), "ids").dropDuplicates([f"_{k}" for k in keys])
+    on = F.col("piece").eqNullSafe(F.col("_piece")) & F.col("ids_crc32").eqNullSafe(F.col("_ids_crc32")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    joined = placed.join(held, on)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return joined.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
