@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from findling.llm import decontamination, idfiles, language, media, packing, pieces, sharding, simhash, substrings, toxicity
 from findling.llm.common import staged
+from findling.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,4 +56,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_rendezvous_shards, op4_bitplane_files, op5_best_two_fit, op6_toxicity, op7_substring_dedup, op8_media_png, op9_decontamination, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}

@@ -76,10 +76,3 @@ def _sql_shard(shards: int) -> str:
     terms = ", ".join(f"{{'s': -1.0 / ln((('0x' || substr(md5(k || '#{s}'), 1, {_HEX}))::BIGINT::DOUBLE + 0.5) / {float(16**_HEX)!r}), 'n': {-s}}}" for s in range(shards))
     return f"-(list_max([{terms}]).n)"
 
-
-ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, k, strlen(t) + 1 AS size, t, ('0x' || substr(md5(k), 1, {_HEX}))::BIGINT AS h,
-  {_sql_shard(8)} AS shard, {_sql_shard(9)} AS grown_shard FROM d)
-SELECT doc_id, size::BIGINT AS size, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard, t FROM a
-"""
