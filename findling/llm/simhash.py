@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ SEGMENTS = 32
 CELL = 1 << 16
 #: Large cells are joined by broadcast up to so many (20 bytes each).
 BROADCAST = 100_000
+#: All pairs of a cell of so many rows are compared at once.
+FEW = 12
 LINKS = "a long, b long"
 _HALF = 1 << 15  # shingles summed at once
 
@@ -168,12 +170,12 @@ def stars(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[np.ndarray,
     return np.array([r for _, r in own], np.int64), np.array([x for x, _ in own], np.int64)
 
 
-def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
-    """Links (node a, node b) inside the cells of rows (c0, c1, node, w0, ...)."""
-    keys, own_words = ["c0", "c1"], [f"w{k}" for k in range(words)]
+def dealt(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of cells (keys, node, more) as (cell, node, more), each cell whole in a partition and in a run there."""
+    rest = [c for c in cells.columns if c not in keys]
     # Rows of a cell of n rows go to k = ceil(n / CELL) parts, and each pair of parts, also of a part with itself, is a task's.
-    large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
-    parts = staged(large.select(*keys, F.ceil(F.col("n") / CELL).cast("int").alias("k")), "large-cells")
+    large = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > CELL)
+    parts = staged(large.select(*keys, F.ceil(F.col("n_rows") / CELL).cast("int").alias("k")), "large-cells")
     n_parts = parts.count()
     if n_parts:
         cells = cells.join(F.broadcast(parts) if n_parts <= BROADCAST else parts, keys, "left")
@@ -184,42 +186,57 @@ def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
     cell = F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("cell")
     # Two cells of one hash, if any, are compared as one: more pairs, the same links.
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.select(cell, "node", *own_words).repartition(n, "cell").sortWithinPartitions("cell")
+    return spread.select(cell, *rest).repartition(n, "cell").sortWithinPartitions("cell")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells with the cells' bounds, of rows sorted by their first column."""
+
+    def done(found: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(found)
+        cell = rows.column(0).to_numpy()
+        return rows, np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:  # the last cell of a batch may go on in the next
+        if not batch.num_rows:
+            continue
+        cell = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() != cell[0]:
+            yield done(held)
+            held = []
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if cut:
+            yield done([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield done(held)
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def done(found: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(found)
-            cell, nodes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+def link_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+
+
+def cell_links(cells: DataFrame, words: int, distance: int) -> DataFrame:
+    """Links (node a, node b) inside the cells of rows (c0, c1, node, w0, ...)."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_cells(batches):
+            nodes = rows.column(1).to_numpy()
             prints = np.stack([rows.column(2 + w).to_numpy() for w in range(words)], axis=1).view(U64)
-            edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
-            x, y = small_cells(prints, edges, distance, 12)
+            x, y = small_cells(prints, edges, distance, FEW)
             a, b = [nodes[x]], [nodes[y]]
-            for at in np.flatnonzero(np.diff(edges) > 12).tolist():
+            for at in np.flatnonzero(np.diff(edges) > FEW).tolist():
                 pairs = near(prints[edges[at] : edges[at + 1]], distance)
                 if pairs:
                     x, y = stars(nodes[edges[at] : edges[at + 1]], pairs)
                     a.append(x)
                     b.append(y)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield link_batch(a, b)
 
-        for batch in batches:  # the last cell of a batch may go on in the next
-            if not batch.num_rows:
-                continue
-            cell = batch.column(0).to_numpy()
-            if held and held[0].column(0)[0].as_py() != cell[0]:
-                yield done(held)
-                held = []
-            cut = int(np.searchsorted(cell, cell[-1]))
-            if cut:
-                yield done([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield done(held)
-
-    return dealt.mapInArrow(link, LINKS)
+    return dealt(cells.select("c0", "c1", "node", *(f"w{k}" for k in range(words))), ["c0", "c1"]).mapInArrow(link, LINKS)
 
 
 def grid_cells(points: DataFrame, distance: int, blocks: int) -> DataFrame:
@@ -271,40 +288,228 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar_documents: 64-bit words of a print, tables, bits of a table's key, and bits that may differ.
-#: Sets of Jaccard similarity J differ in a share acos(2J / (1 + J)) / pi of their bits: 39 +- 6 of 256 at J = 0.8.
-WORDS, TABLES, KEY_BITS, APART = 4, 64, 18, 48
+#: For similar_documents: the least Jaccard similarity of the shingles, P / Q, and the least number of 64-bit words of the parity bits.
+P, Q, WORDS = 4, 5, 8
+
+
+def shingle_counts(data: bytes | None, width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's distinct shingles, ascending, and how often it holds each."""
+    return np.unique(np.concatenate([np.empty(0, U64), *shingle_hashes(data or b"", width, seed)]), return_counts=True)
+
+
+def prefix(found: np.ndarray) -> np.ndarray:
+    """The least hashes of a set; two sets of similarity P / Q or more have one in common, as all but these are too few."""
+    return found[: len(found) + 1 + -P * len(found) // Q] if len(found) else found
+
+
+def parities(found: np.ndarray) -> bytes:
+    """Parities of the numbers of hashes in classes, a power of two not under the set's size. Those of two sets differ in no
+    more bits than the sets in hashes."""
+    width = max(64 * WORDS, 1 << (len(found) - 1).bit_length() if len(found) else 1)
+    return np.packbits(np.bincount((found & U64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+class Parities:
+    """Parity bits of many rows. Rows of sizes within P / Q of each other have equal widths or one twice the other, which is
+    folded then."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.width, self.at, self.rows = np.array([len(x) // 8 for x in bits]), np.zeros(len(bits), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.rows[w, w] = held = np.frombuffer(b"".join(bits[k] for k in own.tolist()), U64).reshape(-1, w)
+            self.rows[w, w // 2] = held[:, : w // 2] ^ held[:, w // 2 :]
+
+    def apart(self, k: int, others: np.ndarray) -> np.ndarray:
+        out, w, widths = np.zeros(len(others), np.int64), int(self.width[k]), self.width[others]
+        for o in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == o)
+            out[at] = np.bitwise_count(self.rows[o, min(o, w)][self.at[others[at]]] ^ self.rows[w, min(o, w)][self.at[k]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """The number of differing parities of two rows, the wider folded."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
-def sampled_cells(points: DataFrame, words: int, tables: int, key_bits: int) -> DataFrame:
-    """Cells of wide points: each table's key is some bits of the print, that is counts of one-bit segments."""
-    rng = np.random.default_rng(10)
-    chosen = [rng.choice(64 * words, key_bits, replace=False) for _ in range(tables)]
+def similar(apart, size):
+    """Whether sets that differ in `apart` elements, of `size` together, have similarity P / Q or more."""
+    return (P + Q) * apart <= (Q - P) * size
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 1 << np.arange(key_bits, dtype=np.int64)
+
+def near_copies(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether shingles are similar as sets, and also with as many repeats as the texts have. Without the first a passage
+    repeated often would make near copies of texts that share nothing else, without the second one of a short text and a long."""
+    _, x, y = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
+    n, m = len(one[0]) + len(other[0]), int(one[1].sum() + other[1].sum())
+    return similar(n - 2 * len(x), n) and similar(m - 2 * int(np.minimum(one[1][x], other[1][y]).sum()), m)
+
+
+def could_be_similar(n: np.ndarray, bits: Parities, k: int, others: np.ndarray) -> np.ndarray:
+    """Those of `others` that by sizes (rows of n: distinct shingles, all) and parities may be similar to k: never fewer than are."""
+    others = others[similar(np.abs(n[others] - n[k]), n[others] + n[k]).all(axis=1)]
+    return others[similar(bits.apart(k, others), n[others, 0] + n[k, 0])]
+
+
+def cell_forest(n: np.ndarray, bits: Parities) -> list[tuple[int, int]]:
+    """Index pairs that connect all rows that may be similar, breadth first from the first row."""
+    links, left = [], np.arange(len(n))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            k = queue.pop(0)
+            found = could_be_similar(n, bits, k, left)
+            links += [(k, x) for x in found.tolist()]
+            queue += found.tolist()
+            left = np.setdiff1d(left, found, assume_unique=True)
+    return links
+
+
+def cell_rest(n: np.ndarray, bits: Parities, group: np.ndarray) -> list[tuple[int, int]]:
+    """All index pairs of different groups that may be similar."""
+    _, group, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    most, every, links = sizes.argmax(), np.arange(len(n)), []
+    for k in np.flatnonzero(group != most).tolist():
+        links += [(k, x) for x in could_be_similar(n, bits, k, every[(group == most) | (group != group[k]) & (every > k)]).tolist()]
+    return links
+
+
+def shingle_sets(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """key, node (a hash of the shingles and their counts), n (distinct shingles), m (all), bits (parities) and keys (prefix) of every row."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.stack([batch.column(1 + w).to_numpy() for w in range(words)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little")
-            for t, at in enumerate(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int32)), pa.array(bits[:, at] @ place), *batch.columns], ["c0", "c1", *batch.schema.names])
+            sets, counts = zip(*(shingle_counts(x.as_py(), width) for x in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+            keys = [prefix(x) for x in sets]
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes() + c.tobytes(), SEED) for x, c in zip(sets, counts, strict=True)], U64).view(np.int64)
+            values = np.concatenate([np.empty(0, U64), *keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([parities(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(values))], [key, "node", "n", "m", "bits", "keys"])
+
+    return docs.select(F.col(key).cast("long").alias(key), text_bytes().alias("data")).mapInArrow(make, f"{key} long, node long, n long, m long, bits binary, keys array<long>")
 
-    return points.mapInArrow(spread, "c0 int, c1 long, node long" + "".join(f", w{k} long" for k in range(words)))
 
+def shared_cells(cells: DataFrame) -> DataFrame:
+    """Of rows (cell, node): all pairs (null, a, b) of cells of up to FEW rows, and the rows (cell, a, null) of larger ones."""
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = node = np.empty(0, np.int64)  # of the cell that may go on in the next batch
+        sent = None  # a larger cell of which rows were sent
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                cell, node = np.concatenate([cell, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            if not len(cell):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            sizes = np.diff(edges)
+            large = sizes > FEW
+            if sent is not None:
+                large |= cell[edges[:-1]] == sent
+            sent = cell[-1] if large[-1] else None
+            end = len(cell) if batch is None or large[-1] else edges[-2]
+            is_large = np.repeat(large, sizes)[:end]
+            own, held = cell[:end], node[:end]
+            a, b = [], []
+            for step in range(1, FEW):
+                same = np.flatnonzero((own[step:] == own[:-step]) & ~is_large[step:])
+                a.append(np.minimum(held[same], held[same + step]))
+                b.append(np.maximum(held[same], held[same + step]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], ["cell", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[is_large]), pa.array(held[is_large]), pa.nulls(int(is_large.sum()), pa.int64())], ["cell", "a", "b"])
+            cell, node = cell[end:], node[end:]
+
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(split, "cell long, a long, b long")
+
+
+def pairs_in(cells: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) in large cells of rows (cell, node, n, m, bits): with a column component, all that may be similar
+    and are of different components; without, so many that they connect what may be similar."""
+    grouped = "component" in cells.columns
 
-def similar_documents(docs: DataFrame, key: str, width: int = 5, words: int = WORDS, tables: int = TABLES, key_bits: int = KEY_BITS, apart: int = APART) -> DataFrame:
-    """key and component (a number of each group) of every row, for similarities far wider than a few bits.
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_cells(batches):
+            every = rows.column(1).to_numpy()
+            n = np.stack([rows.column(2).to_numpy(), rows.column(3).to_numpy()], axis=1)
+            bits = rows.column(4).to_pylist()
+            group = rows.column(5).to_numpy() if grouped else None
+            a, b = [], []
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                at = start + np.argsort(every[start:end])  # the least node is the centre in each cell that holds the same rows
+                own = Parities([bits[k] for k in at.tolist()])
+                pairs = cell_rest(n[at], own, group[at]) if grouped else cell_forest(n[at], own)
+                if pairs:
+                    x, y = np.array(pairs).T
+                    a.append(np.minimum(every[at[x]], every[at[y]]))
+                    b.append(np.maximum(every[at[x]], every[at[y]]))
+            yield link_batch(a, b)
 
-    At 48 of 256 bits the blocks of an exact grid would be too few bits to tell documents apart. So the grid is taken in
-    `tables` random sets of one-bit segments: a pair at J = 0.8 shares a cell of one of them in 97 of 100 cases, at 0.85
-    in 99.7, and each pair in a cell is compared over all bits. Rows with equal prints are one point.
+    return dealt(cells, ["cell"]).mapInArrow(link, LINKS).distinct()
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
+    """The pairs (a, b) of points whose texts are near copies."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = staged(points.select("node", key).join(asked, "node", "left_semi").join(docs.select(key, text_bytes().alias("data")), key).select("node", "data"), "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, known = [], {}  # a centre's set is made once a batch
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a not in known:
+                    if len(known) == 64:
+                        known.clear()
+                    known[a] = shingle_counts(x.as_py(), width)
+                kept.append(near_copies(known[a], shingle_counts(y.as_py(), width)))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(test, LINKS)
+
+
+def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
+    """key (a different number in each row) and component of every row: rows are linked where their shingles have Jaccard
+    similarity P / Q or more, both as sets and counted with repeats, and links are closed.
+
+    An exact join. Similar sets share a hash among the least of each, and these are the cells; the pairs in a cell are tested
+    by sizes and parities, which reject no similar pair, and then on the shingles themselves. A cell of more than FEW rows
+    first gives only pairs that connect it; then all pairs that are still not connected by links. Rows of equal shingles
+    and counts, texts without words among them, are one point; shingles of equal 64-bit hashes count as equal.
     """
-    prints = staged(fingerprints(docs, key, width, words), "prints")
-    own = [f"w{k}" for k in range(words)]
-    points = staged(prints.select(F.xxhash64(*own).alias("node"), *own).distinct(), "points")
-    bits = max(key_bits, points.count().bit_length() - 8)
-    found = components(cell_links(sampled_cells(points, words, tables, bits), words, apart))
-    return prints.select(key, F.xxhash64(*own).alias("node")).join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
+    sets = staged(shingle_sets(docs, key, width), "sets")
+    points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "points")
+    cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
+    shared = staged(shared_cells(cells), "cells")
+    own = points.select("node", "n", "m", "bits")
+
+    few = shared.filter("cell is null").select("a", "b").distinct()
+    for side in ("a", "b"):
+        few = few.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, m_a, m_b = (batch.column(k).to_numpy() for k in range(2, 6))
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(similar(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b) & similar(np.abs(m_a - m_b), m_a + m_b)))
+
+    few = few.select("a", "b", "n_a", "n_b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(test, LINKS)
+    large = shared.filter("cell is not null").select("cell", F.col("a").alias("node")).join(own, "node").select("cell", "node", "n", "m", "bits")
+    pairs = staged(few.unionByName(pairs_in(large)).distinct(), "pairs")
+    links = staged(verified(pairs, points, docs, key, width), "links")
+    found = staged(components(links), "found")
+    grouped = large.join(found, "node", "left").select("cell", "node", "n", "m", "bits", F.coalesce("component", "node").alias("component"))
+    rest = staged(pairs_in(grouped).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = staged(verified(rest, points, docs, key, width), "links")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return sets.select(key, "node").join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
