@@ -88,3 +88,14 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, few):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     assert kept(spark, rows) == kept_by_brute_force(rows)
+
+
+def test_repeats_and_pairs_under_the_threshold_are_not_linked(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        line = words(rng, 34) * 20
+        texts += [" ".join(words(rng, 300) + line) for _ in range(2)]
+    for common, own, other in [(300, 50, 50), (79, 10, 10), (4, 1, 1)] * 5:
+        texts += pair(rng, common, own, other)
+    rows = list(enumerate(texts))
+    assert kept(spark, rows) == list(range(len(rows))) == kept_by_brute_force(rows)
