@@ -99,3 +99,11 @@ def test_repeats_and_pairs_under_the_threshold_are_not_linked(spark):
         texts += pair(rng, common, own, other)
     rows = list(enumerate(texts))
     assert kept(spark, rows) == list(range(len(rows))) == kept_by_brute_force(rows)
+
+
+def test_near_copies_do_not_depend_on_the_number_of_documents(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    for _ in range(10):
+        rows += [(len(rows) + k, t) for k, t in enumerate(pair(rng, 80, 10, 10))]
+    monkeypatch.setattr(type(spark.range(0)), "count", lambda self: 1 << 40)  # as many as it may be told
+    assert kept(spark, rows) == list(range(0, len(rows), 2))
