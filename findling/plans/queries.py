@@ -422,7 +422,7 @@ def boundary_counts(spark, d):
 @query
 def rf_boundary_metrics(spark, d):
     rows = lines.split(lines.weak_labels(lines.features(spec_lines(spark, d))))
-    model = lines.fit(rows.filter("is_train"), trees=20, depth=8)
+    model = lines.fit(rows.filter("is_train"))
     return evaluate.classification(lines.predict(model, rows.filter("not is_train")), "is_boundary", "prediction", "probability_boundary")
 
 
