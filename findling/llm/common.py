@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import zstandard
@@ -36,14 +39,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged inside when the block ends, but those staged with last=True: they go with the block around it,
+    if there is one."""
+    own: list[str] = []
+    token = _passing.set((*_passing.get(), own))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def staged(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """Writes df to the shared folder and returns the written table, so that no lineage is left."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    blocks = _passing.get()
+    for own in blocks[-2:-1] if last else blocks[-1:]:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many underscores after it as make it a new one."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str = "text", empty_for_null: bool = True):
     """UTF-8 bytes of a text column."""
     c = F.col(column).cast("string")
