@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import staged
+from findling.llm.common import passing, staged
 
-#: About so many labelled rows of each class are learned from, drawn by a hash of the key; and terms and exceptions at most.
-SAMPLE, TERMS, EXCEPTIONS = 6000, 200, 100
+#: About so many labelled documents of each class are learned from, drawn by a hash of the key. Nothing else bounds the lexicon:
+#: all terms and exceptions that pass the tests below are in it.
+SAMPLE = 6000
 #: Letters of a word beginning; texts that must hold a term; the least z score of its share's difference.
 LETTERS, LEAST_TEXTS, LEAST_Z = (4, 8), 6, 6.0
 MOST_COUNT = 4
+#: Words after which a hit weighs less by the text's length; the one that fits the labels best is taken.
+SCALES = (4000.0, 1000.0, 250.0)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -63,8 +66,7 @@ def beginnings(text: str) -> set[str]:
     """Candidate terms of a folded text: ' word ' and ' beg' of its words."""
     out = set()
     for word in set(text.split()):
-        if len(word) <= 24:
-            out.add(f" {word} ")
+        out.add(f" {word} ")
         for n in range(LETTERS[0], min(LETTERS[1], len(word)) + 1):
             out.add(f" {word[:n]}")
     return out
@@ -75,34 +77,27 @@ def find_twice(text: str, found: set[str]) -> set[str]:
     words = Counter(text.split())
     starts: Counter = Counter()
     for word, k in words.items():
-        if len(word) <= 24:
-            starts[f" {word} "] += k
+        starts[f" {word} "] += k
         for n in range(LETTERS[0], min(LETTERS[1], len(word)) + 1):
             starts[f" {word[:n]}"] += k
     return {x for x in found if starts[x] > 1}
 
 
-def _z(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
-    """How far apart the shares a/n and b/m are, in standard errors."""
-    p = (a + b + 1) / (n + m + 2)
-    return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m))
+def _z(a: str, b: str, n: float, m: float):
+    """How far apart the shares a/n and b/m of two columns are, in standard errors."""
+    p = (F.col(a) + F.col(b) + 1) / (n + m + 2)
+    return (F.col(a) / n - F.col(b) / m) / F.sqrt(p * (1 - p) * (1 / n + 1 / m))
 
 
-def choose_terms(stats: list[tuple[str, int, int, int, int]], n_toxic: int, n_clean: int) -> list[str]:
-    """Terms from (term, toxic and clean texts with it, toxic and clean texts with it twice). Of a beginning and its
-    longer forms, the longest that keeps nine tenths of the toxic texts stays."""
-    if not stats:
-        return []
-    names = [x[0] for x in stats]
-    a, b, a2, b2 = (np.array([x[k] for x in stats], float) for k in range(1, 5))
-    z = np.maximum(_z(a, b, n_toxic, n_clean), _z(a2, b2, n_toxic, n_clean))
-    good = {names[k]: (a[k], z[k]) for k in np.flatnonzero((z >= LEAST_Z) & (a >= LEAST_TEXTS)).tolist()}
-    kept: list[str] = []
-    for term in sorted(good, key=lambda t: (-good[t][1], t)):
-        shorter = any(good[o][0] >= 0.9 * good[term][0] for o in good if o != term and o.startswith(term))
-        if not shorter:
-            kept.append(term)
-    return kept[:TERMS]
+def choose_terms(stats: list[tuple[str, int, float]]) -> list[str]:
+    """Terms from (term, toxic texts with it, z score). Of a beginning and its longer forms, the longest that keeps nine tenths
+    of the toxic texts stays."""
+    texts = {term: a for term, a, _ in stats}
+
+    def is_longer(term: str) -> bool:
+        return any(texts.get(term[:n], 0) >= 0.9 * texts[term] for n in range(1, len(term)))
+
+    return [term for term, _, _ in sorted(stats, key=lambda x: (-x[2], x[0])) if not is_longer(term)]
 
 
 def phrases_of(text: str, machine: ahocorasick.Automaton) -> set[str]:
@@ -120,7 +115,7 @@ def phrases_of(text: str, machine: ahocorasick.Automaton) -> set[str]:
         after = text.find(" ", stop + 1)
         if after > 0:
             out.add(text[start : after + 1])
-    return {x for x in out if len(x) <= 80}
+    return out
 
 
 def machine_of(terms: Iterable[str]) -> ahocorasick.Automaton:
@@ -153,23 +148,55 @@ class Lexicon:
 
 def shrink(n_words: float, scale: float) -> float:
     """Weight of a hit in a text of so many words."""
-    return 1.0 / (1.0 + math.log1p(n_words / scale)) if scale else 1.0
+    return 1.0 / (1.0 + math.log1p(n_words / scale))
+
+
+class Sparse:
+    """Rows of few numbers, and a last column of ones."""
 
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, columns: int) -> None:
+        self.row, self.column, self.value, self.rows, self.columns = row, column, value, rows, columns
 
-def regression(x: np.ndarray, y: np.ndarray, own: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and mean loss of logistic regression with row weights, by Newton's method."""
-    full = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, lam = np.zeros(full.shape[1]), np.full(full.shape[1], ridge)
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.rows) + w[-1]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.column, self.value * v[self.row], self.columns), v.sum())
+
+    def squares(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.column, self.value**2 * v[self.row], self.columns), v.sum())
+
+
+def regression(x: Sparse, y: np.ndarray, own: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and mean loss of logistic regression with row weights, by Newton's method with conjugate gradients."""
+    w, lam = np.zeros(x.columns + 1), np.full(x.columns + 1, ridge)
     lam[-1] = 1e-6
 
     def loss(w: np.ndarray) -> float:
-        m = full @ w
+        m = x.times(w)
         return float((own * (np.logaddexp(0, m) - y * m)).sum() + (lam * w * w).sum() / 2)
 
+    def solve(curve: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        scale = 1 / (x.squares(curve) + lam)
+        out, left = np.zeros_like(aim), aim.copy()
+        way = scale * left
+        size = left @ way
+        enough = 1e-16 * size
+        for _ in range(10 * len(aim)):
+            if size <= enough:
+                break
+            turned = x.back(curve * x.times(way)) + lam * way
+            step = size / (way @ turned)
+            out, left = out + step * way, left - step * turned
+            new = scale * left
+            size, before = left @ new, size
+            way = new + size / before * way
+        return out
+
     best = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        step = np.linalg.solve((full * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ full + np.diag(lam), full.T @ (own * (p - y)) + lam * w)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+        step = solve(own * np.maximum(p * (1 - p), 1e-6), x.back(own * (p - y)) + lam * w)
         t = 1.0
         while t > 1e-3 and loss(w - t * step) > best:
             t /= 2
@@ -199,33 +226,41 @@ def _sums(rows: DataFrame, find) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Fits on a hash sample of rows labels(doc_id, toxic) with the texts of docs, about `sample` of each class.
+    """Fits on a hash sample of documents labels(doc_id, toxic) with the texts of docs, about `sample` of each class.
 
-    Without labelled rows the lexicon is empty and every score 0.5 less a little; with one class alone, its share.
+    A document with both labels counts as toxic; of rows with one doc_id that with the least text is learned from; null
+    labels and keys teach nothing. Without labelled rows the lexicon is empty and every score about 0; with one class alone,
+    about its share.
     """
-    own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, sample / max(1, sizes.get(k, 0))) for k in (0, 1)}
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])) * (1 << 20))
-    few = sum(min(sample, n) for n in sizes.values()) <= 4 * sample
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn) if few else drawn, "doc_id")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [folded(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([n for _, n in both], pa.int64()), batch.column(1)], ["folded", "n", "toxic"])
+    with passing(docs.sparkSession):
+        own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
+        share = {k: min(1.0, sample / max(1, sizes.get(k, 0))) for k in (0, 1)}
+        drawn = staged(own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])) * (1 << 20)), "drawn")
+        few = drawn.count() <= 4 * sample
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn) if few else drawn, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = [folded(x.as_py()) for x in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([n for _, n in both], pa.int64()), batch.column(1)], ["folded", "n", "toxic"])
+
+        rows = staged(texts.select("text", "toxic").mapInArrow(fold, "folded string, n long, toxic int"), "labelled")
+        return fitted(rows, {k: sizes.get(k, 0) for k in (0, 1)}, share)
 
-    rows = staged(texts.select("text", "toxic").mapInArrow(fold, "folded string, n long, toxic int"), "labelled")
+
+def fitted(rows: DataFrame, sizes: dict[int, int], share: dict[int, float]) -> Lexicon:
+    """The lexicon of rows(folded, n, toxic), which are so large a share of the labelled documents of each class."""
     n_by = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n_by.get(1, 0), n_by.get(0, 0)
     if not n_toxic or not n_clean:
-        share_of = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return Lexicon([], np.empty(0), math.log((share_of + 1e-6) / (1 - share_of + 1e-6)), 0.0)
-    stats = _sums(rows, beginnings).filter((F.col("a") >= LEAST_TEXTS) & (F.col("a") / n_toxic > 2 * F.col("b") / n_clean - F.col("a2") / n_toxic))
-    stats = stats.withColumn("gap", F.col("a") / n_toxic - F.col("b") / n_clean).orderBy(F.desc("gap"), "term").limit(20 * TERMS)
-    terms = choose_terms([(r["term"], r["a"], r["b"], r["a2"], r["b2"]) for r in stats.collect()], n_toxic, n_clean)
+        share_of = sizes[1] / max(1, sum(sizes.values()))
+        return Lexicon([], np.empty(0), math.log((share_of + 1e-6) / (1 - share_of + 1e-6)), 1.0)
+    z = F.greatest(_z("a", "b", n_toxic, n_clean), _z("a2", "b2", n_toxic, n_clean))
+    stats = _sums(rows, beginnings).filter(F.col("a") >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    terms = choose_terms([(r["term"], r["a"], r["z"]) for r in stats.select("term", "a", "z").collect()])
     if not terms:
-        return Lexicon([], np.empty(0), math.log((sizes[1] + 0.5) / (sizes[0] + 0.5)), 0.0)
+        return Lexicon([], np.empty(0), math.log((sizes[1] + 0.5) / (sizes[0] + 0.5)), 1.0)
     base = pickle.dumps(terms)
     held: dict[int, ahocorasick.Automaton] = {}
 
@@ -236,9 +271,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 
     # Exceptions: longer forms that clean texts hold more often, for their number, than toxic ones.
     clean = _sums(rows, find).filter(F.col("b") >= LEAST_TEXTS).filter(F.col("b") / n_clean > F.col("a") / n_toxic)
-    exceptions = [r["term"] for r in clean.orderBy(F.desc("b"), "term").limit(EXCEPTIONS).collect()]
-    every = terms + [x for x in exceptions if x not in terms]
-    lexicon = Lexicon(every, np.zeros(len(every)), 0.0, 0.0)
+    every = terms + sorted({r["term"] for r in clean.select("term").collect()} - set(terms))
+    lexicon = Lexicon(every, np.zeros(len(every)), 0.0, 1.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,15 +280,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_pydict({"n": batch.column(1), "toxic": batch.column(2), "at": pa.array([list(c) for c in found], pa.list_(pa.int32())), "count": pa.array([[min(v, MOST_COUNT) for v in c.values()] for c in found], pa.list_(pa.int32()))})
 
     sampled = rows.mapInArrow(features, "n long, toxic int, at array<int>, count array<int>").collect()
-    x = np.zeros((len(sampled), len(every)))
-    for k, r in enumerate(sampled):
-        x[k, r["at"]] = r["count"]
     y = np.array([float(r["toxic"]) for r in sampled])
     weight = np.where(y > 0, 1 / share[1], 1 / share[0])
     weight *= len(weight) / weight.sum()
+    row = np.repeat(np.arange(len(sampled)), [len(r["at"]) for r in sampled])
+    column = np.array([k for r in sampled for k in r["at"]], np.int64)
+    value = np.array([k for r in sampled for k in r["count"]], np.float64)
     best = None
-    for scale in (0.0, 4000.0, 1000.0, 250.0):
-        w, bias, lost = regression(x * np.array([shrink(r["n"], scale) for r in sampled])[:, None], y, weight)
+    for scale in SCALES:
+        shorter = np.array([shrink(r["n"], scale) for r in sampled])
+        w, bias, lost = regression(Sparse(row, column, value * shorter[row], len(sampled), len(every)), y, weight)
         if best is None or lost < best[0]:
             best = (lost, w, bias, scale)
     return Lexicon(every, *best[1:])
@@ -289,14 +324,25 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns from the labelled rows that are not held out, and scores all rows of docs."""
+    """Learns from the labelled rows that are not held out, and scores all rows of docs.
+
+    A null text is scored as an empty one; long texts are scored whole; repeated rows are scored each for itself; a null doc_id
+    is not held out; labels that disagree count as toxic; with no labels all scores are about 0; an empty table gives an empty
+    one; other columns are ignored.
+    """
     return score(docs, learn(docs, labels.filter(~held_out())))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is under a half, with their own columns."""
-    name = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learn(docs, labels.filter(~held_out()))))
+    """The rows of docs whose score is under a half, with their own columns, whatever their names.
+
+    Null texts, long texts, repeated rows, labels that disagree and empty tables as in scored(); where no term was learned,
+    no row goes.
+    """
+    lexicon, name = learn(docs, labels.filter(~held_out())), uuid.uuid4().hex
+    if not len(lexicon.machine):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _own(name, shared)
