@@ -1,6 +1,7 @@
 """Op 8. Media columns: 8-bit grey PNG in binary columns, and perceptual hashes of its low cosine frequencies.
 
-The codec is written out here: chunks with CRC-32 checks, zlib streams, and all five row filters undone with numpy.
+The codec is written out here: chunks with CRC-32 checks, zlib streams, and all five row filters undone with numpy. The writer
+takes, for each image, that filter of none, left and above whose residues have the least absolute sum.
 """
 
 from __future__ import annotations
@@ -35,26 +36,29 @@ def _filtered(image: np.ndarray, kind: int) -> np.ndarray:
     return image
 
 
-def encode_png(image: np.ndarray, row_filter: int = 0, level: int = 6) -> bytes:
-    """PNG of an (h, w) array of uint8, with filter 0 (none), 1 (left) or 2 (above) on every row."""
+def encode_png(image: np.ndarray, row_filter: int | None = None, level: int = 6) -> bytes:
+    """PNG of an (h, w) array of uint8, with filter 0 (none), 1 (left) or 2 (above) on every row: by default the one whose
+    residues, as signed numbers, have the least absolute sum, of equal ones the first."""
     h, w = image.shape
+    if row_filter is None:
+        row_filter = min(range(3), key=lambda kind: int(np.abs(_filtered(image, kind).view(np.int8).astype(np.int16)).sum()))
     rows = np.empty((h, w + 1), np.uint8)
     rows[:, 0], rows[:, 1:] = row_filter, _filtered(image, row_filter)
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def _predicted(row: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
-    """Undoes filters 3 (mean) and 4 (Paeth), whose samples depend on one another from left to right."""
-    out, left, corner = bytearray(len(row)), 0, 0
-    for x, (value, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        left, corner = (value + guess) & 255, up
-        out[x] = left
-    return np.frombuffer(bytes(out), np.uint8)
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Undoes any filters: a sample needs those to its left, above and between, which lie on the two diagonals before its own."""
+    h, w = rows.shape
+    out = np.zeros((h + 1, w + 1), np.int16)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        out[y + 1, x + 1] = rows[y, x] + np.choose(kinds[y], [np.zeros_like(left), left, up, (left + up) // 2, nearest]) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -88,16 +92,15 @@ def decode_png(data: bytes) -> np.ndarray:
     kinds, out = rows[:, 0], rows[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown filter")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, out)
     out[kinds == 1] = np.cumsum(out[kinds == 1], axis=1, dtype=np.uint8)
-    if (kinds > 1).any():
+    if (kinds == 2).any():
         turns = np.flatnonzero(np.diff(kinds)) + 1
         for a, b in zip([0, *turns], [*turns, h], strict=True):
-            above = out[a - 1] if a else np.zeros(w, np.uint8)
             if kinds[a] == 2:
+                above = out[a - 1] if a else np.zeros(w, np.uint8)
                 out[a:b] = np.cumsum(np.concatenate([above[None], out[a:b]]), axis=0, dtype=np.uint8)[1:]
-            elif kinds[a] > 2:
-                for y in range(a, b):
-                    out[y] = above = _predicted(out[y], above, int(kinds[a]))
     return out
 
 
@@ -109,15 +112,21 @@ def _cosines(n: int) -> np.ndarray:
 _BASIS = _cosines(WIDTH)[:8]
 
 
-def cosine_hash(image: np.ndarray) -> str:
-    """64-bit hash: the image averaged to 24 by 24, its 8 by 8 lowest cosine terms against their median without the mean term."""
+def _shrunk(image: np.ndarray) -> np.ndarray:
+    """Sums of WIDTH equal shares of the rows; a row between two shares counts in both by its parts."""
     edges = np.arange(WIDTH + 1) * image.shape[0] / WIDTH
     total = np.concatenate([np.zeros((1, image.shape[1])), np.cumsum(image, axis=0, dtype=np.float64)])
     low = edges.astype(np.int64)
     at = total[low] + (edges - low)[:, None] * (total[np.minimum(low + 1, len(total) - 1)] - total[low])
-    small = np.diff(at, axis=0)
+    return np.diff(at, axis=0)
+
+
+def cosine_hash(image: np.ndarray) -> str:
+    """64-bit hash of an image of any size: averaged to 24 by 24, its 8 by 8 lowest cosine terms against their median without
+    the mean term."""
+    small = _shrunk(image)
     if image.shape[1] != WIDTH:
-        raise ValueError(f"images are {WIDTH} samples wide here")
+        small = _shrunk(small.T).T
     terms = np.round(_BASIS @ small @ _BASIS.T, 6).ravel()
     return np.packbits(terms > np.median(terms[1:])).tobytes().hex()
 
@@ -129,7 +138,11 @@ def as_image(data: bytes) -> np.ndarray:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the PNG of each text's bytes in a binary column. A null text counts as empty."""
+    """doc_id, n_bytes and the PNG of each text's bytes in a binary column, one row for every row of docs.
+
+    A null text counts as empty and is one unit of padding; a long text is one tall image, in memory at once; a null doc_id is
+    kept; an empty table gives an empty one; other columns are ignored.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,7 +155,11 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decodes the stored column, with all checks, and computes digests and the cosine hash."""
+    """Decodes the stored column, with all checks, and computes digests and the cosine hash, for every row of media.
+
+    Of a null or damaged image all that follows from its samples is null, media_bytes and media_sha256 too if it is null; an
+    empty table gives an empty one; other columns are ignored.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,10 +167,15 @@ def media_features(media: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 512)
                 rows = []
                 for doc_id, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    image = decode_png(data)
+                    stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                    try:
+                        image = decode_png(data or b"")
+                    except (ValueError, struct.error, zlib.error):
+                        rows.append((doc_id, n, None, None, None, *stored, None))
+                        continue
                     payload = image.tobytes()
-                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(image)))
+                    rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, cosine_hash(image)))
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.mapInArrow(decode, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, FEATURES)
