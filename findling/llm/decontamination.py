@@ -76,19 +76,23 @@ def byte_ranges(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(starts[a]), int(ends[b - 1])) for a, b in ranges]
 
 
-def item_blocks(benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> list[bytes]:
-    """Pickled matchers of the items, each of at most `windows` different windows."""
-    blocks: list[bytes] = []
+def item_blocks(benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> Iterator[tuple[bytes, bool]]:
+    """Pickled windows of the items with the items that have them, at most `windows` at a time, and whether they are the last.
+    Tasks build the automaton; the driver holds two blocks at most."""
+    before: bytes | None = None
     own: dict[tuple[bytes, ...], set[str]] = {}
     for item_id, data in benchmark.select(F.col("item_id").cast("string"), text_bytes()).filter(F.col("item_id").isNotNull()).toLocalIterator():
         for w in item_windows(normalised(bytes(data)), width):
             own.setdefault(w, set()).add(item_id)
             if len(own) >= windows:
-                blocks.append(pickle.dumps(Matcher(own)))
-                own = {}
-    if own or not blocks:
-        blocks.append(pickle.dumps(Matcher(own)))
-    return blocks
+                if before is not None:
+                    yield before, False
+                before, own = pickle.dumps(own), {}
+    if own or before is None:
+        if before is not None:
+            yield before, False
+        before = pickle.dumps(own)
+    yield before, True
 
 
 _loaded: dict[str, Matcher] = {}
@@ -99,27 +103,26 @@ def _matcher(shared) -> Matcher:
     key = hashlib.md5(data).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = pickle.loads(data)
+        _loaded[key] = Matcher(pickle.loads(data))
     return _loaded[key]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> DataFrame:
-    """doc_id, n_words, ranges (merged word ranges as little-endian pairs of 64-bit numbers) and items of every row of docs."""
+    """doc_id, n_words, ranges (merged word ranges as little-endian pairs of 64-bit numbers), offsets (the same ranges as byte
+    offsets in the original text) and items of every row of docs."""
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, width, windows)
     # A later pass adds to the ranges of the pass before it; between passes the table is written, so one automaton is held.
     table = docs.select("doc_id", "text", F.lit(b"").alias("ranges"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for block, last in item_blocks(benchmark, width, windows):
         shared = spark.sparkContext.broadcast(block)
-        schema = "doc_id long, " + "text string, " * (not last) + "ranges binary, items array<string>, n_words long"
+        schema = f"doc_id long, {'offsets binary' if last else 'text string'}, ranges binary, items array<string>, n_words long"
 
         def one_pass(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared)
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
-                    out_ranges, out_items, out_n = [], [], []
+                    out_ranges, out_items, out_n, out_offsets = [], [], [], []
                     for data, before, own in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("ranges").to_pylist(), batch.column("items").to_pylist(), strict=True):
                         words = normalised(data or b"")
                         ranges, items = matcher.scan(words)
@@ -128,7 +131,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int
                         out_ranges.append(np.array(ranges, "<i8").tobytes())
                         out_items.append(sorted(items.union(own)))
                         out_n.append(len(words))
-                    made = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text")})
+                        if last:
+                            out_offsets.append(np.array(byte_ranges(data, ranges) if ranges else [], "<i8").tobytes())
+                    made = {"doc_id": batch.column("doc_id")} | ({"offsets": pa.array(out_offsets, pa.binary())} if last else {"text": batch.column("text")})
                     yield pa.RecordBatch.from_pydict(made | {"ranges": pa.array(out_ranges, pa.binary()), "items": pa.array(out_items, pa.list_(pa.string())), "n_words": pa.array(out_n, pa.int64())})
 
         table = table.mapInArrow(one_pass, schema)
@@ -137,6 +142,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int
     return table
 
 
+def hit_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> DataFrame:
+    """doc_id, start and end (exclusive) of each hit as byte offsets in the original UTF-8 text, and the items of the document.
+    Clean rows give none; null, repeated and other rows as in contamination()."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in batch.column("offsets").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            both = np.concatenate([np.empty((0, 2), np.int64), *own])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("items").take(at)], ["doc_id", "start", "end", "items"])
+
+    return hits(docs, benchmark, width, windows).select("doc_id", "offsets", "items").mapInArrow(spread, "doc_id long, start long, end long, items array<string>")
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -150,8 +169,9 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> DataFrame:
     """One row for every row of docs.
 
-    A null or empty text has no words and is clean; items without words or without item_id match nothing; repeated items
-    count once for each item_id; an empty benchmark leaves all documents clean; other columns are ignored.
+    A null or empty text has no words and is clean; a long text is scanned whole, its words in memory at once; repeated rows are
+    judged each for itself; items without words or without item_id match nothing; repeated items count once for each item_id;
+    an empty benchmark leaves all documents clean; an empty table gives an empty one; other columns are ignored.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +187,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, win
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, windows: int = WINDOWS) -> DataFrame:
-    """The rows of docs without any hit, with their own columns."""
-    blocks = item_blocks(benchmark, width, windows)
+    """The rows of docs without any hit, with their own columns, whatever their names. Null, empty, long and repeated texts,
+    items and empty tables as in contamination()."""
     kept = docs
-    for block in blocks:
+    for block, last in item_blocks(benchmark, width, windows):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -180,6 +200,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDT
                 yield batch.filter(pa.array([not matcher.scan(normalised(x.as_py() or b""))[0] for x in texts], pa.bool_()))
 
         kept = kept.mapInArrow(clean, docs.schema)
-        if block is not blocks[-1]:
+        if not last:
             kept = staged(kept, "contamination-pass")
     return kept
