@@ -197,8 +197,9 @@ def read_id_files(manifest: DataFrame) -> DataFrame:
 def id_file_table(docs: DataFrame, vocabulary: str | None = None, kind: str = "byte") -> DataFrame:
     """Writes all documents into id files and returns what the files hold of each.
 
-    A null or empty text is the end id alone; rows without doc_id have no place in the order and are left out; repeated
-    doc_ids follow one another in the order of their texts; an empty table gives no file and no row.
+    A null or empty text is the end id alone; a long text runs over as many blocks as it needs; rows without doc_id have no
+    place in the order and are left out; repeated doc_ids follow one another in the order of their texts; an empty table gives
+    no file and no row; other columns are ignored.
     """
     path = fresh_path(docs.sparkSession, "id-files")
     return read_id_files(write_id_files(docs, path, vocabulary, kind))

@@ -166,6 +166,11 @@ def held_out(modulus: int, remainder: int):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Learns from the rows of docs with a language that are not held out, and predicts all."""
+    """Learns from the rows of docs with a language that are not held out, and predicts all.
+
+    Null texts and texts without a letter are `und`; long texts are scored whole; repeated rows teach and are predicted each for
+    itself, and equal scores go to the language that comes first; rows without doc_id teach nothing and are not held out; an
+    empty table gives an empty one; other columns are not read.
+    """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang", "text")
     return predict(docs, learn(labelled, "doc_id"))

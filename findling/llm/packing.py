@@ -141,14 +141,15 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Packs all documents; one row for each piece.
 
-    A null or empty text is the end id alone; a null doc_id is kept; repeated rows are packed each for itself; an empty
-    table gives none.
+    A null or empty text is the end id alone; a long text is cut into pieces, its ids in memory at once; a null doc_id is kept;
+    repeated rows are packed each for itself; an empty table gives none; other columns are ignored.
     """
     return pack(staged(pieces(docs, vocabulary, capacity), "pieces"), capacity)
 
 
 def sequences(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (4 bytes each, at most `capacity`)."""
+    """The packed sequences themselves: sequence_id, ids (4 bytes each, at most `capacity`). Null, long and repeated texts, null
+    keys and empty tables as in packed_documents()."""
     cut = staged(pieces(docs, vocabulary, capacity, with_ids=True), "pieces")
     placed = pack(cut.drop("ids"), capacity)
     keys = ["doc_id", "piece", "ids_crc32"]

@@ -117,8 +117,8 @@ _automata: dict[str, Automaton] = {}
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_words and n_tokens of every row of docs.
 
-    A null or empty text has neither; rows are counted each for itself; a null doc_id is kept; an empty table gives an empty
-    one; other columns are ignored.
+    A null or empty text has neither; a long text is read a bounded run of words at a time; repeated rows are counted each for
+    itself; a null doc_id is kept; an empty table gives an empty one; other columns are ignored.
     """
     vocabulary = vocabulary or default_vocabulary()
 

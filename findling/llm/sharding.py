@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from findling.llm.common import free_name
+
 #: Slots are counted separately in 2**RANGE_BITS ranges of the key hash, for each shard.
 RANGE_BITS = 12
 _HEX = 13  # hex digits of a digest that a double holds exactly
@@ -36,7 +38,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
-    """Adds shard, and grown_shard under the weights `grown`, to every row. No shuffle."""
+    """Adds shard, and grown_shard under the weights `grown`, to every row; columns of these names are replaced. No shuffle."""
     out = docs.withColumn("shard", rendezvous(F.col(key), weights))
     return out.withColumn("grown_shard", rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int"))
 
@@ -46,19 +48,23 @@ def numbered(rows: DataFrame, key: str, ties: Sequence[str] = ()) -> DataFrame:
 
     Rows are numbered inside hash ranges; the ranges' sizes (at most 2**RANGE_BITS rows a shard, whatever the input) give the offsets.
     """
-    ranged = rows.withColumn("_hash", key_hash(F.col(key))).withColumn("_range", F.shiftright("_hash", 4 * _HEX - RANGE_BITS).cast("int"))
-    sizes = ranged.groupBy("shard", "_range").count()
-    before = F.sum("count").over(W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("shard", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("shard", "_range").orderBy("_hash", key, *ties))
-    return ranged.withColumn("_row", within).join(F.broadcast(offsets), ["shard", "_range"]).withColumn("slot", F.col("_before") + F.col("_row") - 1).drop("_hash", "_range", "_row", "_before")
+    held: list[str] = []
+    for name in ("_hash", "_range", "_row", "_before"):
+        held.append(free_name(name, [*rows.columns, *held]))
+    hashed, part, row, start = held
+    ranged = rows.withColumn(hashed, key_hash(F.col(key))).withColumn(part, F.shiftright(hashed, 4 * _HEX - RANGE_BITS).cast("int"))
+    sizes = ranged.groupBy("shard", part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("shard", part, F.coalesce(before, F.lit(0)).alias(start))
+    within = F.row_number().over(W.partitionBy("shard", part).orderBy(hashed, key, *ties))
+    return ranged.withColumn(row, within).join(F.broadcast(offsets), ["shard", part]).withColumn("slot", F.col(start) + F.col(row) - 1).drop(*held)
 
 
 def shard_table(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
-    A null text has size 1 and checksum 0; a null doc_id is the empty key; equal rows get different slots; an empty table
-    gives an empty one; other columns are ignored.
+    A null text has size 1 and checksum 0; long texts count whole; a null doc_id is the empty key; equal rows get different
+    slots; an empty table gives an empty one; other columns are ignored.
     """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     slim = docs.select("doc_id", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -68,8 +74,9 @@ def shard_table(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, key: str, weights: Sequence[float]) -> None:
-    """Writes whole rows into one folder for each shard."""
-    assign_shards(docs, key, weights).drop("grown_shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes whole rows into one folder for each shard, named by the column `shard`, with underscores if docs has one."""
+    name = free_name("shard", docs.columns)
+    docs.withColumn(name, rendezvous(F.col(key), weights)).write.partitionBy(name).mode("overwrite").parquet(path)
 
 
 def _sql_shard(shards: int) -> str:
