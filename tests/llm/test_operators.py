@@ -178,3 +178,45 @@ def test_large_cells_are_split(docs, monkeypatch):
     whole = sorted((r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
     monkeypatch.setattr(simhash, "CELL", 2)
     assert sorted((r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect()) == whole
+
+
+def test_lists_grow_with_the_input():
+    for a, b in ((10**11, 10**12), (10**12, 10**14)):
+        lists = [(size / substrings.sizes_of(size)[0]) * (size / substrings.sizes_of(size)[1]) for size in (a, b)]
+        assert 0.9 < lists[1] / lists[0] / (b / a) < 1.1
+    assert substrings.sizes_of(10**8) == (substrings.BATCH_BYTES, substrings.RANGE_BYTES)
+
+
+def test_lists_in_spark_grow_with_the_input(spark, monkeypatch):
+    """Counts the rows that the first exchange holds at two sizes."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(substrings, "LIST_BYTES", 1000)
+    counts = []
+    for n in (60, 960):
+        texts = [" ".join(f"w{(k * 7919 + i * 104729) % 1000003}" for i in range(150)) for k in range(n)]
+        size = sum(map(len, texts))
+        batch, bucket = substrings.sizes_of(size)
+        run = -(-size // batch)
+        per = -(-n // run)
+        rows = 0
+        for b in range(run):
+            own = substrings.Batch([t.encode() for t in texts[b * per : (b + 1) * per]])
+            _, hashes = own.windows(18)
+            out = substrings._lists(b, hashes, None, hashes == hashes, -(-size // bucket), 64)
+            rows += out.num_rows if out else 0
+        counts.append(rows / n)
+    assert counts[1] < 2 * counts[0]
+
+
+def test_windows_of_equal_first_hashes_are_told_apart():
+    import numpy as np
+
+    h, m = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint32)
+    asked = np.array([5, 5, 5, 9, 8, 10], np.uint64)
+    assert substrings._are_in(asked, np.array([2, 1, 7, 3, 3, 3], np.uint32), h, m).tolist() == [True, True, False, True, False, False]
+    lists = [substrings._lists(k, np.array([5, 7], np.uint64) << np.uint64(60), np.array([k, 4], np.uint32), np.ones(2, bool), 1, 64) for k in (1, 2)]
+    import pyarrow as pa
+
+    found = substrings._repeated(pa.Table.from_batches(lists))
+    assert [substrings._wanted(found.slice(k, 1))[0].tolist() for k in range(2)] == [[7 << 60]] * 2
