@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import U64, mix, spans, staged, text_bytes
+from findling.llm.common import U64, free_name, mix, spans, staged, text_bytes
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = 32
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 
     Null texts and texts without words have fingerprint zero and link like any other; rows without doc_id are points that
     may connect others, but name no component (theirs is null if no row of it has a doc_id); rows of equal doc_id take part
-    each for itself; an empty table gives an empty one; other columns are ignored.
+    each for itself; long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns are
+    ignored.
     """
     prints = staged(fingerprints(docs, "doc_id", width, 1, seed), "prints")
     points = staged(prints.groupBy("w0").agg(F.min("doc_id").alias("least")), "points").withColumn("node", F.col("w0"))
@@ -290,6 +291,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
 
 #: For similar_documents: the least Jaccard similarity of the shingles, P / Q, and the least number of 64-bit words of the parity bits.
 P, Q, WORDS = 4, 5, 8
+#: Shingles that one in SHARE documents of a run holds, and LEAST at least, come last in the order of the prefixes; the HEAVY
+#: most frequent of them are told to every task. Any order gives the same links: this one keeps cells small.
+SHARE, LEAST, HEAVY = 500, 8, 100_000
+_RUN = 1 << 22  # shingles counted at once
 
 
 def shingle_counts(data: bytes | None, width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +302,40 @@ def shingle_counts(data: bytes | None, width: int, seed: int = SEED) -> tuple[np
     return np.unique(np.concatenate([np.empty(0, U64), *shingle_hashes(data or b"", width, seed)]), return_counts=True)
 
 
-def prefix(found: np.ndarray) -> np.ndarray:
-    """The least hashes of a set; two sets of similarity P / Q or more have one in common, as all but these are too few."""
-    return found[: len(found) + 1 + -P * len(found) // Q] if len(found) else found
+def prefix(found: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, in ascending order with the heavy ones (ascending) last; two sets of similarity P / Q or more
+    have one in common, as all but these are too few."""
+    if not len(found):
+        return found
+    if len(heavy):
+        late = heavy[np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)] == found
+        found = np.concatenate([found[~late], found[late]])
+    return found[: len(found) + 1 + -P * len(found) // Q]
+
+
+def heavy_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that many documents hold, ascending, HEAVY at most: counted in runs of documents, where only those
+    that are frequent in the run leave it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(run: list[np.ndarray]) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.empty(0, U64), *run]), return_counts=True)
+            often = n >= max(LEAST, len(run) // SHARE)
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+        for batch in batches:
+            run, size = [], 0
+            for x in batch.column(0):
+                run.append(shingle_counts(x.as_py(), width)[0])
+                size += len(run[-1])
+                if size > _RUN:
+                    yield done(run)
+                    run, size = [], 0
+            yield done(run)
+
+    counted = docs.select(text_bytes().alias("data")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.desc("n"), "shingle").limit(HEAVY).select("shingle").toArrow()
+    return np.sort(most.column(0).to_numpy().view(U64))
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -371,22 +407,28 @@ def cell_forest(n: np.ndarray, bits: Parities) -> list[tuple[int, int]]:
     return links
 
 
-def cell_rest(n: np.ndarray, bits: Parities, group: np.ndarray) -> list[tuple[int, int]]:
-    """All index pairs of different groups that may be similar."""
-    _, group, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    most, every, links = sizes.argmax(), np.arange(len(n)), []
-    for k in np.flatnonzero(group != most).tolist():
-        links += [(k, x) for x in could_be_similar(n, bits, k, every[(group == most) | (group != group[k]) & (every > k)]).tolist()]
+def cell_rest(n: np.ndarray, bits: Parities, group: np.ndarray, home: int | None, first: bool) -> list[tuple[int, int]]:
+    """All index pairs of different groups that may be similar: those with a row of the home group (by default the largest),
+    and in the first part of a cell those without."""
+    if home is None:
+        names, sizes = np.unique(group, return_counts=True)
+        home = names[sizes.argmax()]
+    every, links = np.arange(len(n)), []
+    for k in np.flatnonzero(group != home).tolist():
+        others = (group == home) | (group != group[k]) & (every > k) if first else group == home
+        links += [(k, x) for x in could_be_similar(n, bits, k, every[others]).tolist()]
     return links
 
 
 def shingle_sets(docs: DataFrame, key: str, width: int) -> DataFrame:
     """key, node (a hash of the shingles and their counts), n (distinct shingles), m (all), bits (parities) and keys (prefix) of every row."""
+    late = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, width))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = late.value
         for batch in batches:
             sets, counts = zip(*(shingle_counts(x.as_py(), width) for x in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-            keys = [prefix(x) for x in sets]
+            keys = [prefix(x, heavy) for x in sets]
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             node = np.array([xxhash.xxh64_intdigest(x.tobytes() + c.tobytes(), SEED) for x, c in zip(sets, counts, strict=True)], U64).view(np.int64)
             values = np.concatenate([np.empty(0, U64), *keys]).view(np.int64)
@@ -429,9 +471,39 @@ def shared_cells(cells: DataFrame) -> DataFrame:
     return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(split, "cell long, a long, b long")
 
 
+def parted(cells: DataFrame) -> DataFrame:
+    """Rows of cells (cell, node, n, m, bits, perhaps component) as (part, node, n, m, bits, component, home, first), each part
+    whole in a partition and in a run there.
+
+    A cell of over CELL rows makes several parts, each row in one of them. With components, the rows of all but the largest
+    one (home) go to every part, so that they meet all; without, the least node does. So the rows sent grow with the cell.
+    """
+    grouped = "component" in cells.columns
+    sizes = cells.groupBy("cell", *(["component"] if grouped else [])).agg(F.count(F.lit(1)).alias("n_rows"), F.min("node").alias("least"))
+    if grouped:
+        sizes = sizes.groupBy("cell").agg(F.max_by("component", F.struct("n_rows", "component")).alias("home"), F.sum("n_rows").alias("n_rows"))
+    else:
+        sizes = sizes.withColumnRenamed("least", "home")
+    large = staged(sizes.filter(F.col("n_rows") > CELL).select("cell", "home", F.ceil(F.col("n_rows") / CELL).cast("int").alias("k")), "large-cells")
+    n_large = large.count()
+    if n_large:
+        cells = cells.join(F.broadcast(large) if n_large <= BROADCAST else large, "cell", "left")
+    else:
+        cells = cells.withColumn("home", F.lit(None).cast("long")).withColumn("k", F.lit(1))
+    k, own = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1)).cast("long")).cast("int")
+    everywhere = (F.col("component") != F.col("home")) if grouped else F.col("node") == F.col("home")
+    parts = F.when(F.coalesce(everywhere, F.lit(False)), F.sequence(F.lit(0), k - 1)).otherwise(F.array(own))
+    component = F.col("component") if grouped else F.lit(None).cast("long").alias("component")
+    spread = cells.withColumn("at", F.explode(parts))
+    # Parts are told apart by 64-bit hashes, as the shingles are.
+    part = F.when(F.col("k").isNull() | (F.col("k") == 1), F.col("cell")).otherwise(F.xxhash64("cell", "at")).alias("part")
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.select(part, "node", "n", "m", "bits", component, "home", (F.col("at") == 0).alias("first")).repartition(n, "part").sortWithinPartitions("part", "home")
+
+
 def pairs_in(cells: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) in large cells of rows (cell, node, n, m, bits): with a column component, all that may be similar
-    and are of different components; without, so many that they connect what may be similar."""
+    and are of different components; without, some of them, that connect most of what may be similar."""
     grouped = "component" in cells.columns
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,14 +516,14 @@ def pairs_in(cells: DataFrame) -> DataFrame:
             for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 at = start + np.argsort(every[start:end])  # the least node is the centre in each cell that holds the same rows
                 own = Parities([bits[k] for k in at.tolist()])
-                pairs = cell_rest(n[at], own, group[at]) if grouped else cell_forest(n[at], own)
+                pairs = cell_rest(n[at], own, group[at], rows.column(6)[start].as_py(), rows.column(7)[start].as_py() is not False) if grouped else cell_forest(n[at], own)
                 if pairs:
                     x, y = np.array(pairs).T
                     a.append(np.minimum(every[at[x]], every[at[y]]))
                     b.append(np.maximum(every[at[x]], every[at[y]]))
             yield link_batch(a, b)
 
-    return dealt(cells, ["cell"]).mapInArrow(link, LINKS).distinct()
+    return parted(cells).mapInArrow(link, LINKS).distinct()
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
@@ -478,10 +550,11 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
     """key (a different number in each row) and component of every row: rows are linked where their shingles have Jaccard
     similarity P / Q or more, both as sets and counted with repeats, and links are closed.
 
-    An exact join. Similar sets share a hash among the least of each, and these are the cells; the pairs in a cell are tested
+    An exact join. Similar sets share a hash among the first of each, and these are the cells; the pairs in a cell are tested
     by sizes and parities, which reject no similar pair, and then on the shingles themselves. A cell of more than FEW rows
     first gives only pairs that connect it; then all pairs that are still not connected by links. Rows of equal shingles
-    and counts, texts without words among them, are one point; shingles of equal 64-bit hashes count as equal.
+    and counts, null texts and texts without words among them, are one point; shingles of equal 64-bit hashes count as equal;
+    long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns are ignored.
     """
     sets = staged(shingle_sets(docs, key, width), "sets")
     points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "points")
@@ -513,9 +586,14 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without all but one row of each group of near copies: the one of least doc_id stays."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = similar_documents(rows, "_row", width)
-    ranked = groups.join(rows.select("_row", "doc_id"), "_row")
-    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    """docs without all but one row of each group of near copies: the one of least doc_id stays, of equal ones any one row.
+
+    Null and empty texts and such without words are copies of one another; rows without doc_id stay only in groups where none
+    has one; long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns, whatever
+    their names, are kept as they are.
+    """
+    row = free_name("_row", docs.columns)
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ranked = similar_documents(rows, row, width).join(rows.select(row, "doc_id"), row)
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

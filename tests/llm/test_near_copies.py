@@ -74,10 +74,11 @@ def many(rng):
     return texts
 
 
-@pytest.mark.parametrize("few", [12, 2])
-def test_near_dedup_equals_brute_force(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "heavy"), [(12, 8), (2, 2), (2, 1 << 30)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, few, heavy):
     monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(simhash, "CELL", 1 << 16 if few > 2 else 8)
+    monkeypatch.setattr(simhash, "LEAST", heavy)
     rng = random.Random(2)
     passage = words(rng, 30)
     # A chain, in which only neighbours are similar, and texts that share a passage and no more.
@@ -107,3 +108,26 @@ def test_near_copies_do_not_depend_on_the_number_of_documents(spark, monkeypatch
         rows += [(len(rows) + k, t) for k, t in enumerate(pair(rng, 80, 10, 10))]
     monkeypatch.setattr(type(spark.range(0)), "count", lambda self: 1 << 40)  # as many as it may be told
     assert kept(spark, rows) == list(range(0, len(rows), 2))
+
+
+def test_frequent_shingles_share_no_cell():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    passage = np.sort(rng.integers(0, 1 << 40, 30, dtype=np.uint64))  # the least hashes of all
+    sets = [np.sort(np.concatenate([passage, rng.integers(1 << 41, 1 << 63, 70, dtype=np.uint64)])) for _ in range(50)]
+    assert len({x for s in sets for x in simhash.prefix(s, passage).tolist()}) == 50 * 21
+    assert {len(simhash.prefix(s, passage[:0])) for s in sets} == {21}
+
+
+def test_a_large_group_sends_rows_in_proportion(spark, monkeypatch):
+    """One cell of one group of near copies, and a few rows of other groups: parts hold each row once, and the few in each."""
+    monkeypatch.setattr(simhash, "CELL", 50)
+    for n in (200, 2000):
+        rows = [(1, k, 10, 10, bytes(64), 0 if k < n else k) for k in range(n + 3)]
+        cells = spark.createDataFrame(rows, "cell long, node long, n long, m long, bits binary, component long")
+        parts = -(-(n + 3) // 50)
+        assert simhash.parted(cells).count() == n + 3 * parts
+        assert simhash.parted(cells.drop("component")).count() == n + 3 + parts - 1
+        links = simhash.pairs_in(cells.drop("component"))
+        assert links.count() == n + 2
