@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import U64, free_name, mix, spans, staged, text_bytes
+from findling.llm.common import U64, free_name, mix, passing, spans, staged, text_bytes
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = 32
@@ -556,33 +556,34 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
     and counts, null texts and texts without words among them, are one point; shingles of equal 64-bit hashes count as equal;
     long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns are ignored.
     """
-    sets = staged(shingle_sets(docs, key, width), "sets")
-    points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "points")
-    cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
-    shared = staged(shared_cells(cells), "cells")
-    own = points.select("node", "n", "m", "bits")
-
-    few = shared.filter("cell is null").select("a", "b").distinct()
-    for side in ("a", "b"):
-        few = few.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, m_a, m_b = (batch.column(k).to_numpy() for k in range(2, 6))
-            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
-            yield batch.select([0, 1]).filter(pa.array(similar(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b) & similar(np.abs(m_a - m_b), m_a + m_b)))
-
-    few = few.select("a", "b", "n_a", "n_b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(test, LINKS)
-    large = shared.filter("cell is not null").select("cell", F.col("a").alias("node")).join(own, "node").select("cell", "node", "n", "m", "bits")
-    pairs = staged(few.unionByName(pairs_in(large)).distinct(), "pairs")
-    links = staged(verified(pairs, points, docs, key, width), "links")
-    found = staged(components(links), "found")
-    grouped = large.join(found, "node", "left").select("cell", "node", "n", "m", "bits", F.coalesce("component", "node").alias("component"))
-    rest = staged(pairs_in(grouped).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = staged(verified(rest, points, docs, key, width), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return sets.select(key, "node").join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
+    with passing(docs.sparkSession):
+        sets = staged(shingle_sets(docs, key, width), "sets")
+        points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "points")
+        cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
+        shared = staged(shared_cells(cells), "cells")
+        own = points.select("node", "n", "m", "bits")
+
+        few = shared.filter("cell is null").select("a", "b").distinct()
+        for side in ("a", "b"):
+            few = few.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_a, n_b, m_a, m_b = (batch.column(k).to_numpy() for k in range(2, 6))
+                apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
+                yield batch.select([0, 1]).filter(pa.array(similar(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b) & similar(np.abs(m_a - m_b), m_a + m_b)))
+
+        few = few.select("a", "b", "n_a", "n_b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(test, LINKS)
+        large = shared.filter("cell is not null").select("cell", F.col("a").alias("node")).join(own, "node").select("cell", "node", "n", "m", "bits")
+        pairs = staged(few.unionByName(pairs_in(large)).distinct(), "pairs")
+        links = staged(verified(pairs, points, docs, key, width), "links")
+        found = staged(components(links), "found")
+        grouped = large.join(found, "node", "left").select("cell", "node", "n", "m", "bits", F.coalesce("component", "node").alias("component"))
+        rest = staged(pairs_in(grouped).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = staged(verified(rest, points, docs, key, width), "links")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        return staged(sets.select(key, "node").join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component")), "groups", last=True)
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -131,3 +131,13 @@ def test_a_large_group_sends_rows_in_proportion(spark, monkeypatch):
         assert simhash.parted(cells.drop("component")).count() == n + 3 + parts - 1
         links = simhash.pairs_in(cells.drop("component"))
         assert links.count() == n + 2
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    from findling.llm import common
+
+    before = {p for p in __import__("pathlib").Path(common.shared_dir(spark).removeprefix("file://")).rglob("*.parquet")}
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], SCHEMA)
+    out = simhash.one_of_each(docs)
+    left = {p.parent.name.rsplit("-", 1)[0] for p in __import__("pathlib").Path(common.shared_dir(spark).removeprefix("file://")).rglob("*.parquet") if p not in before}
+    assert left == {"rows", "groups"} and out.count() == 2
