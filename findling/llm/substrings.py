@@ -22,8 +22,10 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from findling.llm.common import U64, free_name, mix, pack_sorted, spans, staged, text_bytes, unpack_sorted, volume
+from findling.llm.common import U64, mix, pack_sorted, spans, text_bytes, unpack_sorted, volume
 
 WIDTH = 35
 #: UTF-8 bytes of one batch of documents, on average, and of the texts whose windows meet in one hash range, at the least; and
@@ -36,6 +38,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _REMEMBERED = 300_000
 LISTS = "batch long, bucket int, data binary"
 FOUND = "batch long, data binary"
+REMOVED = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+SPANS = StructType([StructField("doc_id", LongType()), StructField("start", LongType()), StructField("end", LongType())])
 
 
 class WordHashes(dict):
@@ -220,7 +224,7 @@ def sizes_of(size: int) -> tuple[int, int]:
     return int(BATCH_BYTES * grown), int(RANGE_BYTES * grown)
 
 
-def with_repeats(docs: DataFrame, keys: list[str], make, schema: str, width: int = WIDTH) -> DataFrame:
+def with_repeats(docs: DataFrame, keys: list[str], make, schema: StructType, width: int = WIDTH) -> DataFrame:
     """For each run of documents: make(rows, batch, covered), as a record batch of `schema`.
 
     covered says of each word of the run whether a repeated window holds it. Documents are dealt once to small batches, at
@@ -275,7 +279,7 @@ def with_repeats(docs: DataFrame, keys: list[str], make, schema: str, width: int
             near = _is_in(hashes, repeated[0])
             at, hashes = at[near], hashes[near]
             out.append(make(run, b, b.covered(at[_are_in(hashes, b.more(at, width), *repeated)] if len(at) else at, width)))
-        return pa.Table.from_batches(out) if out else pa.table({x: pa.array([], t) for x, t in _arrow(schema)})
+        return pa.Table.from_batches(out) if out else to_arrow_schema(schema).empty_table()
 
     grouped = dealt.groupBy("batch")
     anchors = grouped.applyInArrow(probes, LISTS).groupBy("bucket").applyInArrow(_repeated, FOUND)
@@ -284,11 +288,6 @@ def with_repeats(docs: DataFrame, keys: list[str], make, schema: str, width: int
 
 
 _EMPTY = pa.table({"batch": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
-_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
-
-
-def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:
-    return [(x.split()[0], _KINDS[x.split()[1]]) for x in schema.split(", ")]
 
 
 def _kept(data: bytes, gone: np.ndarray) -> bytes:
@@ -318,7 +317,7 @@ def removed_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             digests.append(hashlib.sha256(_kept(data, own)).hexdigest())
         return pa.RecordBatch.from_pydict({"doc_id": run.column("doc_id").combine_chunks(), "n_words": pa.array(b.sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    return with_repeats(docs, ["doc_id"], make, "doc_id long, n_words long, n_removed long, kept_sha256 string", width)
+    return with_repeats(docs, ["doc_id"], make, REMOVED, width)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -334,7 +333,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             ends += edges[1::2].tolist()
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
 
-    return with_repeats(docs, ["doc_id"], make, "doc_id long, start long, end long", width)
+    return with_repeats(docs, ["doc_id"], make, SPANS, width)
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -344,20 +343,24 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     repeated whole lose all their windows, each of them; long texts are cut like others; an empty table gives an empty one;
     other columns, whatever their names, are kept.
     """
-    row = free_name("_row", docs.columns)
-    kept = free_name("_kept", [*docs.columns, row])
-    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    types = {n: docs.schema[c].dataType for n, c in zip(names, docs.columns, strict=True)}
+    text, size = names[docs.columns.index("text")], names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    # The text itself travels as bytes, in its own column only whether it is null.
+    slim = docs.toDF(*names).withColumn("text", F.col(text).cast("string")).withColumn(text, F.col(text).isNull())
 
     def make(run: pa.Table, b: Batch, gone: np.ndarray) -> pa.RecordBatch:
-        ids, texts = [], []
-        for k, data, a, n in zip(run.column(row).to_pylist(), run.column("text").to_pylist(), b.starts.tolist(), b.sizes.tolist(), strict=True):
+        texts, sizes = [], run.column(size).to_pylist() if size else []
+        for k, (data, is_null, a, n) in enumerate(zip(run.column("text").to_pylist(), run.column(text).to_pylist(), b.starts.tolist(), b.sizes.tolist(), strict=True)):
             if gone[a : a + n].any():
-                ids.append(k)
-                texts.append(_kept(data, gone[a : a + n]).decode())
-        return pa.RecordBatch.from_pydict({row: pa.array(ids, pa.int64()), kept: pa.array(texts, pa.string())})
-
-    joined = rows.join(with_repeats(rows, [row], make, f"{row} long, {kept} string", width), row, "left")
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.coalesce(kept, F.col("text"))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[v.alias(c) for c, v in out.items()])
+                data = _kept(data, gone[a : a + n])
+                if size:
+                    sizes[k] = len(data.decode())
+            texts.append(None if is_null else data)
+        made = {n: run.column(n).combine_chunks() for n in names} | {text: pa.array(texts, pa.binary()).cast(pa.string())}
+        if size:
+            made[size] = pa.array(sizes).cast(run.column(size).type)
+        return pa.RecordBatch.from_pydict(made)
+
+    schema = StructType([StructField(n, types[n]) for n in names])
+    return with_repeats(slim, names, make, schema, width).toDF(*docs.columns)
