@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findling.functions import text as tx
+from findling.sources.shared import written
 
 #: Share of the mean weight that terms of over half the documents get.
 EPSILON = 0.25
@@ -35,22 +36,22 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "size")))
 
 
-def postings_of(docs: DataFrame, tokens: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths. Counting is done in each document's row; no shuffle."""
-    counted = docs.select(F.col(key).alias("doc_id"), tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), tx.term_counts(F.col("tokens")).alias("own"))
-    return counted.select("doc_id", "dl", F.inline("own")).select("doc_id", "term", "tf", "dl"), counted.select("doc_id", "dl")
-
-
 def build(docs: DataFrame, tokens: Column, key: str = "doc_id", lucene: bool = False) -> Index:
     """Index over one tokens column. Weights are those of Okapi BM25, with EPSILON of the mean weight for terms whose weight
-    would be negative; lucene takes ln(1 + (N - df + 0.5) / (df + 0.5)) instead."""
-    postings, lengths = postings_of(docs, tokens, key)
-    size = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    would be negative; lucene takes ln(1 + (N - df + 0.5) / (df + 0.5)) instead.
+
+    Documents are read once: each becomes a written row of its length and its counted terms, which needs no shuffle. Term
+    weights and size are written from those rows, so no search computes them again.
+    """
+    tokenized = docs.select(F.col(key).alias("doc_id"), tokens.alias("tokens"))
+    counted = written(tokenized.select("doc_id", F.size("tokens").alias("dl"), tx.term_counts(F.col("tokens")).alias("own")), "postings")
+    postings = counted.select("doc_id", "dl", F.inline("own")).select("doc_id", "term", "tf", "dl")
+    size = written(counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")), "size")
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = size.select("n_docs").scalar()
     if lucene:
-        return Index(postings, counts.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))), size)
-    raw = counts.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        return Index(postings, written(counts.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms"), size)
+    raw = written(counts.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
     mean = raw.agg(F.avg("raw")).scalar()
     return Index(postings, raw.select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * mean).alias("idf")), size)
 

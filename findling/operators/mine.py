@@ -7,18 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from findling.functions import text as tx
+from findling.sources.shared import written
 
 QUERY_TYPES = ("technical_mechanism", "system_architecture", "method_and_process", "device_and_apparatus")
 
 
 def positions(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """Adds `pos`, the 0-based place of each row in the order, without one task seeing all rows: rows are dealt to ranges of the
-    order, counted there, and numbered inside them."""
-    ranged = docs.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    order, counted there, and numbered inside them. The dealt rows are written once with the number of their range, as both
+    counting and numbering must see the same ranges."""
+    ranged = written(docs.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "positions")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    sizes = within.groupBy("_part").agg(F.max("_row").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(before.select("_part", "_before"), "_part").withColumn("pos", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
+    return within.join(F.broadcast(before), "_part").withColumn("pos", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
 
 
 def labelled_queries(docs: DataFrame, n_docs: int, n_queries: int) -> DataFrame:

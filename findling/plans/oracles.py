@@ -224,8 +224,8 @@ SQL: dict[str, str] = {
     "mining_stats": f"WITH {MINED}, {NEGATIVES} SELECT split, count(DISTINCT query_id) AS num_queries, count(*) FILTER (type = 'positive') AS num_positives, count(*) FILTER (type LIKE 'hard_negative_bm25%') AS num_bm25_hard_negatives, count(*) FILTER (type LIKE 'hard_negative_dense%') AS num_dense_hard_negatives, count(*) FILTER (type = 'orthogonal_negative') AS num_orthogonal_negatives, count(*) AS total_pairs, count(*) FILTER (type <> 'positive') AS total_triples FROM prs GROUP BY split",
     "jsonl_roundtrip": f"WITH {CORPUS} SELECT doc_id::VARCHAR AS doc_id, '' AS category, md5(title) AS title_md5, md5(search_text) AS search_md5 FROM corpus",
     "embedding_cache": "SELECT vec_id::VARCHAR AS doc_id, len(embedding)::INT AS size, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings",
-    "insert_first_wins": "SELECT doc_id, source AS title, lang AS category FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, upper(source), upper(lang) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0",
-    "upsert_last_wins": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE upper(lang) END AS category FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "insert_first_wins": "SELECT doc_id, source AS title, lang AS category FROM documents UNION ALL SELECT doc_id + 100, upper(source), upper(lang) FROM documents WHERE doc_id + 100 NOT IN (SELECT doc_id FROM documents)",
+    "upsert_last_wins": "SELECT coalesce(o.doc_id, n.doc_id + 100) AS doc_id, CASE WHEN n.doc_id IS NULL THEN o.source ELSE upper(n.source) END AS title, CASE WHEN o.doc_id IS NULL THEN upper(n.lang) ELSE o.lang END AS category FROM documents o FULL JOIN documents n ON o.doc_id = n.doc_id + 100",
     "ingest_stream": "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'second' ELSE 'first' END AS version, 8 AS size FROM documents",
     "windowed_events": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
 }

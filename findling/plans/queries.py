@@ -7,9 +7,9 @@ its relevant document. Structured documents are composed of each document's line
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from findling.operators.index import Index, build, build_fields
 from findling.plans.engine import BOOSTS, CANDIDATES, Engine
 from findling.plans.jobs import compare_passages
 from findling.sources import tables
+from findling.sources.shared import fresh_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,8 +51,20 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.present(F.col("text")).alias("query"))
 
 
+_indexes: dict[tuple[str, ...], Index | dict[str, Index]] = {}
+
+
+def prepared(spark: SparkSession, d: str, name: str, make: Callable[[], Index | dict[str, Index]]):
+    """An index over the tables in d, built and written once in an application and read by all its queries. It is built anew
+    when the documents are other files than before."""
+    key = (spark.sparkContext.applicationId, d, name, *sorted(table(spark, d, "documents").inputFiles()))
+    if key not in _indexes:
+        _indexes[key] = make()
+    return _indexes[key]
+
+
 def text_index(spark: SparkSession, d: str) -> Index:
-    return build(documents(spark, d), tx.terms(F.col("text")))
+    return prepared(spark, d, "text", lambda: build(documents(spark, d), tx.terms(F.col("text"))))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -77,15 +90,27 @@ def dense(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, relevant_doc_id: the least doc_id whose text holds the item's, null for none. Blocks of items go to the
-    documents; only hits become rows."""
+    """query_id, relevant_doc_id: the least doc_id whose text holds the item's, null for none. A block of items makes one
+    automaton, which goes over each document once; only hits become rows. An empty item is in every document."""
     hits = None
     for block in retrieve.blocks_of(items(spark, d)):
         shared = spark.sparkContext.broadcast([(r["query_id"], r["query"]) for r in block])
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            by: dict[str, list[int]] = {}
+            for query_id, own in shared.value:
+                by.setdefault(own, []).append(query_id)
+            always, machine = by.pop("", []), ahocorasick.Automaton()
+            for own, ids in by.items():
+                machine.add_word(own, ids)
+            machine.make_automaton()
             for batch in batches:
-                found = [(q, doc) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, own in shared.value if own in text]
+                found = set()
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found.update((q, doc) for q in always)
+                    if by:
+                        found.update((q, doc) for _, ids in machine.iter(text) for q in ids)
+                found = sorted(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["query_id", "relevant_doc_id"])
 
         part = documents(spark, d).mapInArrow(find, "query_id long, relevant_doc_id long")
@@ -213,7 +238,7 @@ def bm25_default_k1(spark, d):
 
 @query
 def bm25_multifield(spark, d):
-    fields = build_fields(corpus(spark, d), {c: tx.terms(F.col(c)) for c in BOOSTS})
+    fields = prepared(spark, d, "fields", lambda: build_fields(corpus(spark, d), {c: tx.terms(F.col(c)) for c in BOOSTS}))
     return shown(retrieve.best_field(fields, asked(spark, d), BOOSTS, 10))
 
 
@@ -319,9 +344,11 @@ def misses(spark, d):
 
 @query
 def four_way_compare(spark, d):
-    texts, first = pair_texts(spark, d), fused(spark, d)
-    runs = {"bm25": lexical(spark, d, CANDIDATES), "dense": dense(spark, d, CANDIDATES), "hybrid": first, "hybrid_rerank": rerank.rerank(first, items(spark, d), texts, 10)}
-    return evaluate.compare({k: per_query(spark, d, v) for k, v in runs.items()})
+    known = written(relevant(spark, d), "relevant")
+    one, other = written(lexical(spark, d, CANDIDATES), "lexical"), written(dense(spark, d, CANDIDATES), "dense")
+    first = written(retrieve.fuse(one, other, CANDIDATES), "fused")
+    runs = {"bm25": one, "dense": other, "hybrid": first, "hybrid_rerank": rerank.rerank(first, items(spark, d), pair_texts(spark, d), 10)}
+    return evaluate.compare({k: evaluate.metrics(evaluate.ranks(v, known)) for k, v in runs.items()})
 
 
 @query
@@ -453,12 +480,12 @@ def stratified_split_sizes(spark, d):
 
 
 def mined(spark, d):
-    own = split_targets(spark, d)
+    own = written(split_targets(spark, d), "targets")
     hits = retrieve.bm25(text_index(spark, d), retrieve.query_terms(own, tx.terms(F.col("query"))), 50)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("relevant_doc_id"), "embedding")
     near = retrieve.dense(own.join(vectors, "relevant_doc_id"), doc_vectors(spark, d), 10)
     texts = corpus(spark, d).select("doc_id", tx.pair_text(F.col("title"), F.col("abstract")).alias("doc_text"))
-    return mine.training_sets(own, mine.negatives(own, hits, near), texts)
+    return mine.training_sets(own, written(mine.negatives(own, hits, near), "negatives"), texts)
 
 
 @query
@@ -504,26 +531,16 @@ def lsh_recall(spark, d):
 # Sources, sinks and streams
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told:
-        import tempfile
-
-        told = f"file://{tempfile.mkdtemp(prefix='findling-')}"
-    return f"{told.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query
 def jsonl_roundtrip(spark, d):
-    path = scratch(spark, "corpus")
+    path = fresh_path(spark, "corpus")
     tables.write_json(corpus(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")), path)
     return tables.read_corpus(spark, path).select("doc_id", "category", F.md5("title").alias("title_md5"), F.md5("search_text").alias("search_md5"))
 
 
 @query
 def embedding_cache(spark, d):
-    path = scratch(spark, "cache")
+    path = fresh_path(spark, "cache")
     own = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
     tables.write_json(own.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(0).cast("float"))), path, "append")
     import time
@@ -534,9 +551,9 @@ def embedding_cache(spark, d):
 
 
 def merge_input(spark, d):
-    """An old table of even documents, and new rows of all documents that are a multiple of three."""
+    """An old table of all documents, and as new rows all documents again, under keys that are higher by 100."""
     own = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("category"))
-    return own.filter("doc_id % 2 = 0"), own.filter("doc_id % 3 = 0").select("doc_id", F.upper("title").alias("title"), F.upper("category").alias("category"))
+    return own, own.select((F.col("doc_id") + 100).alias("doc_id"), F.upper("title").alias("title"), F.upper("category").alias("category"))
 
 
 @query
@@ -556,15 +573,15 @@ def ingest_stream(spark, d):
     from findling.streaming.ingest import Table, ingest
 
     own = documents(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("first "), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("abstract"), F.lit("").alias("summary"), "text")
-    landing = scratch(spark, "landing")
+    landing = fresh_path(spark, "landing")
     own.coalesce(2).write.mode("append").json(landing)
     own.filter("cast(doc_id as long) % 5 = 0").withColumn("title", F.concat(F.lit("second "), F.col("doc_id"))).coalesce(1).write.mode("append").json(landing)
     from pyspark.sql import types as T
 
     stream = spark.readStream.schema(schemas.INGEST).option("maxFilesPerTrigger", 2).json(landing).withColumn("seq", F.when(F.col("title").startswith("second"), 1).otherwise(0).cast(T.LongType()))
-    result = Table(spark, scratch(spark, "table"))
+    result = Table(spark, fresh_path(spark, "table"))
     small = lambda rows: rows.withColumn("embedding", vx.stable_vector(F.col("doc_id"), 8))
-    ingest(stream, result, scratch(spark, "log"), scratch(spark, "checkpoint"), lambda old, new, key: tables.last_wins(old, new, key, ("title", "embedding")), encode=small).awaitTermination()
+    ingest(stream, result, fresh_path(spark, "log"), fresh_path(spark, "checkpoint"), lambda old, new, key: tables.last_wins(old, new, key, ("title", "embedding")), encode=small).awaitTermination()
     return result.read().select("doc_id", F.regexp_extract("title", r"^(\w+)", 1).alias("version"), F.size("embedding").alias("size"))
 
 
