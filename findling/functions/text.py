@@ -113,6 +113,17 @@ def pair_text(title: Column, abstract: Column) -> Column:
     return F.when(F.length(a) > 0, F.concat(t, F.lit(" — "), a)).otherwise(t)
 
 
+def embed_text(title: Column, abstract: Column, most: int = 8000) -> Column:
+    """What an encoder reads of a document of the corpus."""
+    return F.substring(F.concat(F.lit("Title: "), present(title), F.lit("\nAbstract: "), present(abstract)), 1, most)
+
+
+def ingest_text(title: Column, abstract: Column, most: int = 4000) -> Column:
+    """What an encoder reads of an ingested document."""
+    t, a = present(title), present(abstract)
+    return F.substring(F.when(a != "", F.concat(t, F.lit(" — "), a)).otherwise(t), 1, most)
+
+
 def query_of(title: Column) -> Column:
     """A query made of a title: up to eight words of over two letters, after a known opening."""
     low = F.lower(title)

@@ -41,6 +41,18 @@ def misses(per_query: DataFrame, beyond: int = 10) -> DataFrame:
     return per_query.filter(F.col("rank").isNull() | (F.col("rank") > beyond))
 
 
+def imperfect(per_query: DataFrame, hits: DataFrame) -> DataFrame:
+    """Queries whose relevant document is not the first hit, with the document that is (null if nothing was retrieved)."""
+    first = hits.filter(F.col("rank") == 1).select("query_id", F.col("doc_id").alias("top_doc_id"))
+    return misses(per_query, 1).join(first, "query_id", "left")
+
+
+def deltas(summary: DataFrame, base: str, other: str) -> DataFrame:
+    """One row: how much better each metric of the strategy `other` is than that of `base`, and the numbers of queries."""
+    own = [F.max(F.when(F.col("strategy") == other, F.col(m))) - F.max(F.when(F.col("strategy") == base, F.col(m))) for m in METRICS]
+    return summary.agg(F.max("num_queries").alias("num_queries"), *(F.round(x, 9).alias(f"{m}_delta") for m, x in zip(METRICS, own, strict=True)))
+
+
 def nearest_rank(values: DataFrame, column: str, share: float = 0.95, *by: str) -> DataFrame:
     """The value at 0-based place int(n * share) of each group's ascending values, found by counts of equal values, so that no
     group is gathered in one place."""

@@ -87,6 +87,17 @@ def fit_pair_ranker(pairs: DataFrame, scorer_features):
     return Pipeline(stages=[VectorAssembler(inputCols=list(named), outputCol="features"), LogisticRegression(labelCol="label", featuresCol="features", regParam=0.01)]).fit(rows)
 
 
+def save_model(model, path: str) -> None:
+    """Writes any fitted pipeline (pair ranker or line boundaries) to a folder, in place of what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def pair_features(query: Column, text: Column) -> dict[str, Column]:
     q, d = F.array_distinct(tx.terms(query)), F.array_distinct(tx.terms(text))
     both = F.size(F.array_intersect(q, d)).cast("double")

@@ -194,16 +194,21 @@ def best_passages(hits: DataFrame, passage_docs: DataFrame, k: int) -> DataFrame
     return ranked(best.select("query_id", "doc_id", F.col("top.score").alias("score"), "passage_id"), k, F.desc("score"), F.asc("doc_id"))
 
 
+# What stands for a structure where there is no client, and where an answer cannot be read.
+NOTICE = ("API client not initialized.", "Rule-based fallback representation.", "Unstructured text.")
+FALLBACK = ("Extraction error: unreadable answer", "Fallback representation")
+
+
 def structured(docs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Problem, core, elements and claim summary of each document: a stored answer if there is one, else a fixed notice.
     answers(doc_id, raw): a model's JSON, perhaps in code fences."""
     from findling.schemas import STRUCTURE
 
-    notice = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("No model client.").alias("problem_statement"), F.lit("Rule-based fallback.").alias("inventive_core"), F.array().cast("array<string>").alias("technical_elements"), F.lit("Unstructured text.").alias("claim_summary"), F.lit(None).cast("string").alias("error"))
+    notice = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit(NOTICE[0]).alias("problem_statement"), F.lit(NOTICE[1]).alias("inventive_core"), F.array().cast("array<string>").alias("technical_elements"), F.lit(NOTICE[2]).alias("claim_summary"), F.lit(None).cast("string").alias("error"))
     if answers is None:
         return docs.select(notice.alias("s")).select("s.*")
     parsed = F.from_json(tx.without_fences(F.col("raw")), STRUCTURE)
-    failed = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit("Extraction error").alias("problem_statement"), tx.present(F.col("title")).alias("inventive_core"), F.array().cast("array<string>").alias("technical_elements"), F.lit("Fallback representation").alias("claim_summary"), F.lit("unreadable answer").alias("error"))
+    failed = F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.lit(FALLBACK[0]).alias("problem_statement"), tx.present(F.col("title")).alias("inventive_core"), F.array().cast("array<string>").alias("technical_elements"), F.lit(FALLBACK[1]).alias("claim_summary"), F.lit("unreadable answer").alias("error"))
     good = F.coalesce(parsed["problem_statement"], parsed["inventive_core"], parsed["claim_summary"]).isNotNull()
     own = F.when(F.col("raw").isNull(), notice).when(good, parsed.withField("doc_id", F.col("doc_id").cast("string"))).otherwise(failed)
     return docs.join(answers.select("doc_id", "raw"), "doc_id", "left").select(own.alias("s")).select("s.*")

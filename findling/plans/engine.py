@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from findling.functions import text as tx
 from findling.operators import evaluate, rerank, retrieve, segment
 from findling.operators.index import Index, build, build_fields
+from findling.sources import tables
+from findling.streaming.ingest import Table, ingest_batch
 
 MODES, SEGMENTERS = ("hybrid", "bm25", "dense"), ("rule", "ml", "llm")
 BOOSTS = {"title": 3.0, "abstract": 2.0, "summary": 1.0, "search_text": 1.0}
@@ -89,9 +92,11 @@ class Engine:
         if not q:
             raise ValueError("q must not be empty")
         one = self.spark.createDataFrame([("q", q)], "query_id string, query string")
+        start = time.perf_counter()
         hits = self.search_all(one, mode, rerank_hits, top_k, top_k_candidates)
         rows = [r.asDict() for r in hits.orderBy("rank").collect()]
-        out = {"query": q, "mode": mode, "rerank_applied": bool(rerank_hits and self.scorer), "results_count": len(rows), "results": rows}
+        latency = round(1000 * (time.perf_counter() - start), 2)
+        out = {"query": q, "mode": mode, "rerank_applied": bool(rerank_hits and self.scorer), "results_count": len(rows), "results": rows, "latency_ms": latency}
         if explain:
             out["explanation"] = {"stage1": {"bm25": "Okapi BM25", "dense": "exact cosine"}.get(mode, "reciprocal rank fusion, k = 60"), "stage2": "pair scorer" if out["rerank_applied"] else "none", "plan": hits._jdf.queryExecution().simpleString()}
         return out
@@ -101,7 +106,8 @@ class Engine:
         model predicts, if there is one; `llm` adds stored structures."""
         if engine not in SEGMENTERS:
             raise ValueError(f"engine must be one of {SEGMENTERS}")
-        out = segment.segmented(docs)
+        used = "rule" if engine == "ml" and self.boundary_model is None else engine
+        out = segment.segmented(docs).withColumn("engine_used", F.lit(used))
         if engine == "ml" and self.boundary_model is not None:
             from findling.operators import lines
 
@@ -117,6 +123,32 @@ class Engine:
         size = self.index.size.first()
         return {"status": "healthy", "documents": int(size["n_docs"]), "terms": self.index.terms.count(), "vectors": self.vectors.count() if self.vectors is not None else 0, "scorer": self.scorer is not None}
 
+    def ingest(self, docs: DataFrame, path: str, policy=tables.first_wins) -> str:
+        """Ingests docs(doc_id, title, abstract, summary, text) at once into the table and log under `path`; the name of the task."""
+        table = Table(self.spark, f"{path}/table")
+        ingest_batch(docs.withColumn("seq", F.monotonically_increasing_id()), table.version() or 0, table, f"{path}/log", f"{path}/rows", policy)
+        return "sync-execution"
+
+    def task_status(self, task_id: str, path: str | None = None) -> dict:
+        """Of the task that ingest() names: done. Of a doc_id: its last row in the log under `path`, UNKNOWN if there is none."""
+        if task_id == "sync-execution":
+            return {"task_id": task_id, "status": "SUCCESS", "message": "Task was executed synchronously."}
+        try:
+            row = self.spark.read.parquet(f"{path}/log").filter(F.col("doc_id") == task_id).orderBy(F.desc("batch")).first()
+        except Exception as e:  # no log that can be read
+            return {"task_id": task_id, "status": "UNKNOWN", "message": str(e).splitlines()[0]}
+        if row is None:
+            return {"task_id": task_id, "status": "UNKNOWN", "message": "No such document."}
+        return {"task_id": task_id, "status": row["status"], **({"error": row["error"]} if row["error"] else {"result": {"embedding_dim": row["embedding_dim"], **row["stats"].asDict()}})}
+
+    def metrics(self, path: str) -> dict:
+        """Metrics of each strategy as evaluate_strategies() has written them; zeros for those that are not there."""
+        try:
+            found = {r["strategy"]: r.asDict() for r in self.spark.read.json(path).collect()}
+        except Exception:  # none written yet
+            found = {}
+        return {name: {m: (found.get(name) or {}).get(m, 0.0) for m in evaluate.METRICS} for name in ("bm25", "dense", "hybrid", "hybrid_rerank")}
+
     def strategies(self, queries: DataFrame, k: int = CANDIDATES) -> dict[str, DataFrame]:
         """Per-query metrics of four strategies over queries(query_id, query, relevant_doc_id)."""
         known = queries.select("query_id", "relevant_doc_id")

@@ -16,8 +16,8 @@ from findling.sources import tables
 
 
 def build_corpus(spark: SparkSession, raw_path: str, out_path: str, n: int | None = 10_000) -> None:
-    raw = tables.read_raw(spark, raw_path).withColumn("_at", F.monotonically_increasing_id())
-    tables.write_json(tables.shape_corpus(raw, F.col("_at"), n=n), out_path)
+    """Documents of raw Parquet files, in the files' order, as JSON lines; of those that are long enough, the first n if given."""
+    tables.write_json(tables.shape_corpus(tables.read_raw(spark, raw_path), F.col("_at"), n=n), out_path)
 
 
 def embed_missing(corpus: DataFrame, cache_path: str, encode: Callable[[DataFrame], DataFrame], first: DataFrame | None = None, limit: int | None = None) -> None:
@@ -55,7 +55,7 @@ def mine_training_sets(engine: Engine, queries: DataFrame, out_path: str) -> Dat
 
 
 def compare_passages(segments: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """Whole documents against best passages, both with library-default BM25 over white-space words; metric deltas included."""
+    """Whole documents against best passages, both with library-default BM25 over white-space words; evaluate.deltas() gives the differences."""
     known = queries.select("query_id", "relevant_doc_id")
     asked = query_terms(queries, tx.lower_words(F.col("query")))
     own = segment.passages(segments)

@@ -213,7 +213,7 @@ SQL: dict[str, str] = {
     "passages": f"WITH {SPEC}, {PARS}, {CLAIMS}, {PASSAGES} SELECT doc_id, passage_id, segment_type, md5(text) AS text_md5 FROM pas",
     "segment_stats": f"WITH {SPEC}, {PARS} SELECT doc_id, length(full_text)::INT AS total_chars, len({words('full_text')})::INT AS total_words, 3 AS section_count, (SELECT count(*) FROM pars WHERE pars.doc_id = whole.doc_id)::INT AS paragraph_count, 2 AS claim_count, 1 AS independent_claims, 1 AS dependent_claims FROM whole",
     "maxp_top10": f"WITH {bm25('c', f"SELECT conv_id || '-' || turn AS doc_id, {terms('text')} AS tokens FROM conversations", ITEM_TOKENS)}, par AS (SELECT conv_id || '-' || turn AS p, conv_id FROM conversations), x_s AS (SELECT query_id, conv_id AS doc_id, max(round(raw, 6)) AS raw, arg_min(c.doc_id, (-round(raw, 6), c.doc_id)) AS passage_id FROM c JOIN par ON par.p = c.doc_id GROUP BY query_id, conv_id), {top('x', 10, 'raw', more=', passage_id')} SELECT query_id, doc_id, rank::INT AS rank, score, passage_id FROM x",
-    "structures": "SELECT doc_id::VARCHAR AS doc_id, 'No model client.' AS problem_statement, 'Rule-based fallback.' AS inventive_core, []::VARCHAR[] AS technical_elements, 'Unstructured text.' AS claim_summary, NULL::VARCHAR AS error FROM documents",
+    "structures": "SELECT doc_id::VARCHAR AS doc_id, 'API client not initialized.' AS problem_statement, 'Rule-based fallback representation.' AS inventive_core, []::VARCHAR[] AS technical_elements, 'Unstructured text.' AS claim_summary, NULL::VARCHAR AS error FROM documents",
     "line_features": FEATURE_SQL,
     "weak_labels": f"WITH {SPEC}, {SPEC_LINES} SELECT doc_id, line_no, {LABEL} AS is_boundary FROM sl",
     "boundary_counts": f"WITH {SPEC}, {SPEC_LINES} SELECT is_boundary, count(*) AS n FROM (SELECT {LABEL} AS is_boundary FROM sl) GROUP BY is_boundary",

@@ -11,8 +11,8 @@ from findling.functions import text as tx
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Abstract and description alone, whatever else the Parquet files hold."""
-    return spark.read.parquet(path).select("abstract", "description")
+    """Abstract and description alone, whatever else the Parquet files hold, and _at, a row's place (file and row in it)."""
+    return spark.read.parquet(path).select("abstract", "description", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from findling.functions import text as tx
 from findling.functions.vectors import stable_vector
 from findling.operators.segment import segmented
+from findling.sources.shared import delete
 from findling.sources.tables import latest
 
 VECTOR_SIZE = 768
@@ -68,14 +69,24 @@ class Table:
         out.write.mode("overwrite").parquet(f"{self.path}/v={batch_id + 1}")
 
 
+def ingest_batch(rows: DataFrame, batch_id: int, table: Table, log_path: str, rows_path: str, policy: Callable[[DataFrame, DataFrame, str], DataFrame], columns: tuple[str, ...] = ("doc_id", "title", "embedding"), order: str = "seq", encode: Callable[[DataFrame], DataFrame] = embed) -> None:
+    """One batch: rows are processed once, into a table of their own, from which the merge and the log read. Rows without doc_id
+    are logged as failed, each for itself."""
+    spark, at = rows.sparkSession, f"{rows_path}/batch={batch_id}"
+    named = F.coalesce(tx.strip(F.col("doc_id").cast("string")) != "", F.lit(False))
+    process(latest(rows.filter(named), "doc_id", order).unionByName(rows.filter(~named)), encode).write.mode("overwrite").parquet(at)
+    done = spark.read.parquet(at)
+    table.merge(done.filter("status = 'SUCCESS'").select(*columns), batch_id, policy)
+    done.select("doc_id", "status", "error", "title", "embedding_dim", "stats", F.current_timestamp().alias("completed_at")).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+    delete(spark, at)
+
+
 def ingest(stream: DataFrame, table: Table, log_path: str, checkpoint: str, policy: Callable[[DataFrame, DataFrame, str], DataFrame], columns: tuple[str, ...] = ("doc_id", "title", "embedding"), order: str = "seq", encode: Callable[[DataFrame], DataFrame] = embed) -> StreamingQuery:
     """Runs over what is there and stops. Of rows with one doc_id in a batch, the last in `order` holds. The log has a row for
-    each document and batch."""
+    each document and batch, and one for each row without doc_id."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        done = process(latest(rows.filter(F.col("doc_id").isNotNull()), "doc_id", order), encode)
-        table.merge(done.filter("status = 'SUCCESS'").select(*columns), batch_id, policy)
-        done.select("doc_id", "status", "error", "title", "embedding_dim", "stats", F.current_timestamp().alias("completed_at")).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        ingest_batch(rows, batch_id, table, log_path, f"{checkpoint}/rows", policy, columns, order, encode)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
