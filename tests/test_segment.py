@@ -48,4 +48,4 @@ def test_stored_structures(spark):
     docs = spark.createDataFrame([(1, "T"), (2, "U"), (3, "V")], "doc_id int, title string")
     answers = spark.createDataFrame([(1, '```json\n{"problem_statement": "p", "technical_elements": ["x"]}\n```'), (2, "not json")], "doc_id int, raw string")
     got = {r.doc_id: r for r in segment.structured(docs, answers).collect()}
-    assert got["1"].problem_statement == "p" and got["1"].technical_elements == ["x"] and got["2"].error and got["3"].problem_statement == "No model client."
+    assert got["1"].problem_statement == "p" and got["1"].technical_elements == ["x"] and got["2"].error and got["3"].problem_statement == "API client not initialized."
