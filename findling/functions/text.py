@@ -43,7 +43,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
 def terms(c: Column, stopwords: bool = True) -> Column:

@@ -1,13 +1,16 @@
-"""Structure of long technical documents: sections, paragraphs, claims, passages. Column expressions only.
+"""Structure of long technical documents: sections, paragraphs, claims, passages.
 
-Spark gives no match offsets. They follow from the texts between the matches (split) and the matches themselves
-(regexp_extract_all): a match starts where the lengths of all before it end.
+Spark gives no match offsets, and rebuilding them from splits takes two passes over the text for each pattern. So headers and
+paragraph marks come from one Arrow function over whole batches, with the text up to the next mark; all else is column
+expressions.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ _HEADERS = {
     "DETAILED_DESCRIPTION": r"(?:DETAILED DESCRIPTION(?: OF (?:THE )?(?:PREFERRED )?EMBODIMENTS?)?|BEST MODE FOR CARRYING OUT THE INVENTION)",
 }
 HEADER_PATTERNS = {k: rf"(?iU)(?:^|\n)\s*{v}\s*(?:\n|$)" for k, v in _HEADERS.items()} | {"CLAIMS": r"(?iU)(?:^|\n)\s*(?:WHAT IS CLAIMED IS|WE CLAIM|I CLAIM|CLAIMS\b)\s*[:\n\r]+"}
+#: Capitals of which each header has one; letters with further cases (I, K) are left out.
+HEADER_KEYS = {
+    "ABSTRACT": ("ABSTRACT",), "CROSS_REFERENCE": ("RELATED APPL",), "FIELD_OF_INVENTION": ("ELD",), "BACKGROUND": ("GROUND", "RELATED ART", "OR ART"), "SUMMARY": ("SUMMARY", "OBJECT"),
+    "DRAWINGS_DESCRIPTION": ("DESCR",), "DETAILED_DESCRIPTION": ("DETA", "BEST MODE"), "CLAIMS": ("CLA",),
+}
 TRANSITIONS = ("comprising", "comprises", "consisting of", "consists of", "consisting essentially of", "characterized in that", "characterized by", "including", "composed of")
 PARAGRAPH_MARK = r"(?U)(?:^|\n)\s*(\[\d{4}\]|\(\d{4}\))\s*"
 CLAIM_MARK = r"(?U)(?:^|\n)\s*(?:Claim\s+)?(\d+)[.:]\s+"
@@ -41,17 +49,37 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.observe(f"segment-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("n"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, found>> of all matches, from one pass over the texts between them."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,stop:int,found:string>>")
-
-    def add(done: Column, pair: Column) -> Column:
-        start = F.coalesce(F.get(done, F.size(done) - 1)["stop"], F.lit(0)) + F.length(pair["before"])
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(pair["found"])).alias("stop"), pair["found"].alias("found"))))
-
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.struct(a.alias("before"), b.alias("found")))
-    return F.aggregate(pairs, empty, add)
+def spans(text: Column, end: Column, patterns: dict[str, str], needed: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """array<struct<start, stop, kind, heading, text, word_count>> of all matches of each pattern, by start, then by the order of
+    the patterns. A match has the text from its end to the start of the next one (the last one: to `end`), stripped.
+    Null gives null. needed: for a kind, capitals of which any match has one; other texts are not searched for it."""
+    machines = [(kind, (needed or {}).get(kind, ()), re.compile(p.replace("U)", ")", 1).replace("(?)", "", 1))) for kind, p in patterns.items()]
+    names = ["start", "stop", "kind", "heading", "text", "word_count"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+
+    def find(texts: pa.Array, ends: pa.Array) -> pa.Array:
+        offsets, columns, total = [], [[] for _ in names], 0
+        for own, end in zip(texts.to_pylist(), ends.to_pylist(), strict=True):
+            if own is None:
+                offsets.append(None)
+                continue
+            offsets.append(total)
+            capitals = own.upper() if needed else ""
+            found = []
+            for n, (kind, keys, machine) in enumerate(machines):
+                if not keys or any(k in capitals for k in keys):
+                    found.extend((m.start(), n, m.end(), kind, m.group()) for m in machine.finditer(own))
+            found.sort()
+            for k, (start, _, stop, kind, heading) in enumerate(found):
+                body = own[stop : found[k + 1][0] if k + 1 < len(found) else end].strip()
+                for column, value in zip(columns, (start, stop, kind, heading.strip(), body, len(body.split())), strict=True):
+                    column.append(value)
+            total += len(found)
+        offsets.append(total)
+        rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return F.arrow_udf(find, "array<struct<start:int,stop:int,kind:string,heading:string,text:string,word_count:int>>")(text, end)
 
 
 def _count(c: Column) -> Column:
@@ -62,17 +90,12 @@ def with_sections(docs: DataFrame) -> DataFrame:
     """Adds `body` (text with LF line ends) and `sections` to docs(..., full_text)."""
     body = kept(docs.withColumn("body", tx.unix_lines(F.col("full_text"))))
 
-    def marks_of(n: int, kind: str, pattern: str) -> Column:
-        return F.transform(spans(F.col("body"), pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(n).alias("n"), m["stop"].alias("stop"), F.lit(kind).alias("kind"), tx.strip(m["found"]).alias("heading")))
-
-    marks = F.concat(*(marks_of(n, kind, p) for n, (kind, p) in enumerate(HEADER_PATTERNS.items())))
-    marked = kept(body.withColumn("_marks", F.array_sort(marks)))
+    marked = kept(body.withColumn("_marks", spans(F.col("body"), F.length("body"), HEADER_PATTERNS, HEADER_KEYS)))
     m, size = F.col("_marks"), F.length("body")
 
     def section(x: Column, i: Column) -> Column:
         stop = F.coalesce(F.get(m, i + 1)["start"], size)
-        own = tx.strip(F.substring(F.col("body"), x["stop"] + 1, stop - x["stop"]))
-        return F.struct(F.format_string("SEC-%03d", i + 1).alias("segment_id"), x["kind"].alias("segment_type"), x["heading"].alias("heading"), x["start"].alias("start_char"), stop.alias("end_char"), own.alias("text"), _count(own).alias("word_count"), F.lit(False).alias("fallback"))
+        return F.struct(F.format_string("SEC-%03d", i + 1).alias("segment_id"), x["kind"].alias("segment_type"), x["heading"].alias("heading"), x["start"].alias("start_char"), stop.alias("end_char"), x["text"].alias("text"), x["word_count"].alias("word_count"), F.lit(False).alias("fallback"))
 
     def whole(name: str, heading: str, end: Column, fallback: bool) -> Column:
         own = tx.strip(F.substring(F.col("body"), F.lit(1), end))
@@ -87,17 +110,16 @@ def with_sections(docs: DataFrame) -> DataFrame:
 def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
     """Adds `paragraphs`: numbered ones if there are two at least, else blocks between empty lines outside the claims. The last
     numbered paragraph runs to the end of the text; with stop_at_claims, to the claims."""
-    marked = kept(docs.withColumn("_marks", spans(F.col("body"), PARAGRAPH_MARK)))
-    m, sections = F.col("_marks"), F.col("sections")
+    sections = F.col("sections")
     claims = F.get(F.filter(sections, lambda s: s["segment_type"] == "CLAIMS"), F.lit(0))["start_char"]
     end = F.least(F.length("body"), F.coalesce(claims, F.length("body"))) if stop_at_claims else F.length("body")
+    marked = kept(docs.withColumn("_end", end).withColumn("_marks", spans(F.col("body"), F.col("_end"), {"PARAGRAPH": PARAGRAPH_MARK})))
+    m = F.col("_marks")
 
     def numbered(x: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(m, i + 1)["start"], end)
-        own = tx.strip(F.substring(F.col("body"), x["stop"] + 1, stop - x["stop"]))
-        mark = tx.strip(x["found"])
+        stop = F.coalesce(F.get(m, i + 1)["start"], F.col("_end"))
         home = F.get(F.filter(sections, lambda s: x["start"].between(s["start_char"], s["end_char"])), F.lit(0))["segment_type"]
-        return F.struct(F.concat(F.lit("PAR-"), F.regexp_replace(mark, r"[\[\]()]", "")).alias("segment_id"), mark.alias("heading"), x["start"].alias("start_char"), stop.alias("end_char"), own.alias("text"), _count(own).alias("word_count"), F.coalesce(home, F.lit("DETAILED_DESCRIPTION")).alias("section_affinity"), F.lit(False).alias("fallback_split"))
+        return F.struct(F.concat(F.lit("PAR-"), F.translate(x["heading"], "[]()", "")).alias("segment_id"), x["heading"].alias("heading"), x["start"].alias("start_char"), stop.alias("end_char"), x["text"].alias("text"), x["word_count"].alias("word_count"), F.coalesce(home, F.lit("DETAILED_DESCRIPTION")).alias("section_affinity"), F.lit(False).alias("fallback_split"))
 
     outside = F.filter(sections, lambda s: s["segment_type"] != "CLAIMS")
     blocks = F.flatten(F.transform(outside, lambda s: F.transform(F.filter(F.transform(F.split(s["text"], r"(?U)\n\s*\n"), tx.strip), lambda b: F.length(b) > 60), lambda b: F.struct(b.alias("text"), s["segment_type"].alias("home")))))
@@ -106,7 +128,7 @@ def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
         return F.struct(F.format_string("PAR-%04d", i + 1).alias("segment_id"), F.format_string("Paragraph %d", i + 1).alias("heading"), F.lit(0).alias("start_char"), F.length(x["text"]).alias("end_char"), x["text"].alias("text"), _count(x["text"]).alias("word_count"), x["home"].alias("section_affinity"), F.lit(True).alias("fallback_split"))
 
     own = F.filter(F.transform(m, numbered).cast(PARAGRAPHS), lambda p: p["text"] != "")
-    return kept(marked.withColumn("paragraphs", F.when(F.size(m) >= 2, own).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))).drop("_marks"))
+    return kept(marked.withColumn("paragraphs", F.when(F.size(m) >= 2, own).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))).drop("_marks", "_end"))
 
 
 def with_claims(docs: DataFrame) -> DataFrame:

@@ -49,3 +49,27 @@ def test_stored_structures(spark):
     answers = spark.createDataFrame([(1, '```json\n{"problem_statement": "p", "technical_elements": ["x"]}\n```'), (2, "not json")], "doc_id int, raw string")
     got = {r.doc_id: r for r in segment.structured(docs, answers).collect()}
     assert got["1"].problem_statement == "p" and got["1"].technical_elements == ["x"] and got["2"].error and got["3"].problem_statement == "API client not initialized."
+
+
+def test_all_headers(spark):
+    heads = ["Abstract", "CROSS-REFERENCE TO RELATED APPLICATIONS", "TECHNICAL FIELD", "PRIOR ART", "Objects of the Invention", "DESCRIPTION OF THE DRAWINGS", "BEST MODE FOR CARRYING OUT THE INVENTION", "I claim:"]
+    kinds = ["ABSTRACT", "CROSS_REFERENCE", "FIELD_OF_INVENTION", "BACKGROUND", "SUMMARY", "DRAWINGS_DESCRIPTION", "DETAILED_DESCRIPTION", "CLAIMS"]
+    lead = "A lead of the document, long enough to count as one, as it has well over a hundred characters before the first header. "
+    text = lead + "\r\n" + "".join(f"\r\n{h}\r\nWords é of {k}.\r\n" for k, h in enumerate(heads)) + "1. A thing.\r\n1. A thing twice, comprising a part; and another part.\r\n3. The thing of claims 1-3.\r\n"
+    full, near, none = segments(spark, text, "BACKGROUND\nABSTRACT\nABSTRACT\none two", None)
+    assert [s.segment_type for s in full.sections] == ["OTHER", *kinds]
+    assert [s.heading for s in full.sections] == ["PREAMBLE", *heads]
+    assert [s.text for s in full.sections[1:8]] == [f"Words é of {k}." for k in range(7)] and {s.word_count for s in full.sections[1:8]} == {4}
+    assert all(full.body[s.start_char : s.end_char].strip().startswith(s.heading) for s in full.sections[1:])
+    assert [(c.claim_id, c.parent_claims) for c in full.claims] == [(1, []), (1, []), (3, [1])]
+    # the newline between two headers serves both, but a pattern's own matches do not overlap
+    assert [(s.segment_type, s.start_char, s.text) for s in near.sections] == [("BACKGROUND", 0, ""), ("ABSTRACT", 10, "ABSTRACT\none two")]
+    assert [(s.heading, s.text) for s in none.sections] == [("BODY", "")] and none.stats.total_words == 0
+
+
+def test_paragraphs_stop_at_claims(spark):
+    text = "BACKGROUND\n[0001] First one.\n(0002) Second one.\n\nCLAIMS\n1. A thing.\n"
+    rows = spark.createDataFrame([(1, "T", "", text)], "doc_id int, title string, abstract string, full_text string")
+    open_end, closed = (segment.segmented(rows, stop).first().paragraphs for stop in (False, True))
+    assert [p.segment_id for p in open_end] == ["PAR-0001", "PAR-0002"] == [p.segment_id for p in closed]
+    assert open_end[1].text == "Second one.\n\nCLAIMS\n1. A thing." and open_end[1].word_count == 6 and closed[1].text == "Second one."
