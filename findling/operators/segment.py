@@ -136,9 +136,9 @@ def with_claims(docs: DataFrame) -> DataFrame:
     of_section = F.get(F.filter(F.col("sections"), lambda s: s["segment_type"] == "CLAIMS"), F.lit(0))["text"]
     of_header = F.get(F.split(F.col("body"), HEADER_PATTERNS["CLAIMS"], 2), F.lit(1))
     text = F.coalesce(F.when(of_section != "", of_section), of_header, F.lit(""))
-    cut = F.split(F.regexp_replace(text, CLAIM_MARK, "\u0001$1\u0002"), "\u0001")
-    parts = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda p: F.struct(F.split_part(p, F.lit("\u0002"), F.lit(1)).try_cast("long").alias("claim_id"), tx.strip(F.get(F.split(tx.strip(F.split_part(p, F.lit("\u0002"), F.lit(2))), CLAIM_END, 2), F.lit(0))).alias("text")))
-    split = kept(docs.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != ""))))
+    marked = kept(docs.withColumn("_own", text).withColumn("_marks", spans(F.col("_own"), F.length("_own"), {"CLAIM": CLAIM_MARK})))
+    parts = F.transform("_marks", lambda m: F.struct(F.regexp_extract(m["heading"], r"(?U)\d+", 0).try_cast("long").alias("claim_id"), tx.strip(F.get(F.split(m["text"], CLAIM_END, 2), F.lit(0))).alias("text")))
+    split = kept(marked.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != ""))).drop("_own", "_marks"))
 
     def phrase(c: Column) -> Column:
         out = F.lit("")

@@ -73,3 +73,8 @@ def test_paragraphs_stop_at_claims(spark):
     open_end, closed = (segment.segmented(rows, stop).first().paragraphs for stop in (False, True))
     assert [p.segment_id for p in open_end] == ["PAR-0001", "PAR-0002"] == [p.segment_id for p in closed]
     assert open_end[1].text == "Second one.\n\nCLAIMS\n1. A thing." and open_end[1].word_count == 6 and closed[1].text == "Second one."
+
+
+def test_control_characters_in_claims(spark):
+    (r,) = segments(spark, "CLAIMS\n1. A \x01thing\x02 of parts.\nClaim 2: The thing of claim 1.\n")
+    assert [(c.claim_id, c.text) for c in r.claims] == [(1, "A \x01thing\x02 of parts."), (2, "The thing of claim 1.")]
