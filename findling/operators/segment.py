@@ -1,7 +1,7 @@
 """Structure of long technical documents: sections, paragraphs, claims, passages.
 
-Spark gives no match offsets, and rebuilding them from splits takes two passes over the text for each pattern. So headers and
-paragraph marks come from one Arrow function over whole batches, with the text up to the next mark; all else is column
+Spark gives no match offsets, and rebuilding them from splits takes two passes over the text for each pattern. So headers,
+paragraph and claim marks come from one Arrow function over whole batches, with the text up to the next mark; all else is column
 expressions.
 """
 
