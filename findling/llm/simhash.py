@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import U64, free_name, mix, passing, spans, staged, text_bytes
+from findling.llm.common import U64, free_name, labelled, mix, passing, spans, staged, text_bytes
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = 32
@@ -251,7 +251,8 @@ def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches) of every node of links (a, b), by large and small stars.
 
     Each half round keeps what is connected and hangs rows on smaller nodes; it ends when nothing changes. Every round is
-    written to the shared folder, so a lost executor costs a round at most.
+    written to the shared folder, so a lost executor costs a round at most. The rows of a node with very many neighbours
+    are not brought together.
     """
     both = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = staged(both, "stars")
@@ -263,11 +264,11 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         # Large star: each node hangs its larger neighbours on the smallest of itself and all its neighbours.
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
+        large = labelled(ways.filter("v > u"), least, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: each node hangs itself and its smaller neighbours on the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n_rows"))
+        small = labelled(large, least, "u", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = staged(small, "stars")
 
 
@@ -280,12 +281,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     ignored.
     """
     prints = staged(fingerprints(docs, "doc_id", width, 1, seed), "prints")
-    points = staged(prints.groupBy("w0").agg(F.min("doc_id").alias("least")), "points").withColumn("node", F.col("w0"))
-    blocks = choose_blocks(points.count(), distance)
+    points = staged(prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "points").withColumn("node", F.col("w0"))
+    n_points, n_rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    blocks = choose_blocks(n_points, distance)
     found = components(cell_links(grid_cells(points.select("node", "w0"), distance, blocks), 1, distance))
-    labelled = points.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = prints.join(labelled.select("w0", "component").join(names, "component").drop("component"), "w0")
+    grouped = staged(points.join(found, "node", "left").select("w0", "least", "n_rows", F.coalesce("component", "node").alias("component")), "grouped")
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
+    named = labelled(grouped.select("w0", "component", F.col("n_rows").alias("n")), names, "component", n_points)
+    out = labelled(prints, named.select("w0", "component_id", F.col("n").alias("n_rows")), "w0", n_rows)
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -558,7 +561,7 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
     """
     with passing(docs.sparkSession):
         sets = staged(shingle_sets(docs, key, width), "sets")
-        points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits")), "points")
+        points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("n_rows")), "points")
         cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
         shared = staged(shared_cells(cells), "cells")
         own = points.select("node", "n", "m", "bits")
@@ -583,7 +586,9 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
         more = staged(verified(rest, points, docs, key, width), "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        return staged(sets.select(key, "node").join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component")), "groups", last=True)
+        names = points.select("node", "n_rows").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n_rows")
+        n_rows = points.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        return staged(labelled(sets.select(key, "node"), names, "node", n_rows).select(key, "component"), "groups", last=True)
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
