@@ -16,8 +16,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold over one in HOT of all rows, of which there are fewer than HOT, are joined by broadcast.
-HOT = 10_000
+#: Keys that hold over one in HOT of all rows, of which there are fewer than HOT, and over TASK rows, which are no load for
+#: one task, are joined by broadcast.
+HOT, TASK = 10_000, 1 << 20
 _own_dirs: dict[str, str] = {}
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 U64 = np.uint64
@@ -74,7 +75,9 @@ def staged(df: DataFrame, name: str, last: bool = False) -> DataFrame:
 def labelled(rows: DataFrame, labels: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of rows with labels (key, a label, n_rows), in which n_rows is at least the number of rows that have the key and
     adds up to `total` at most. The rows of a hot key stay where they are, so that they never meet in one task."""
-    label, hot = labels.columns[1], F.col("n_rows") * HOT > total
+    label, hot = labels.columns[1], (F.col("n_rows") * HOT > total) & (F.col("n_rows") > TASK)
+    if total <= TASK:  # none is hot
+        return rows.join(labels.select(key, label), key)
     few = labels.filter(hot).select(key, F.struct(label).alias("_hot"))
     marked = rows.join(F.broadcast(few), key, "left")
     rest = marked.filter("_hot is null").drop("_hot").join(labels.filter(~hot).select(key, label), key)
