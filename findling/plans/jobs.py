@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from findling.functions import text as tx
 from findling.operators import evaluate, mine, segment
 from findling.operators.index import build
-from findling.operators.retrieve import bm25, query_terms
+from findling.operators.retrieve import DIGITS, bm25, bm25_scores, query_terms
 from findling.plans.engine import Engine
 from findling.sources import tables
 
@@ -66,6 +66,7 @@ def compare_passages(segments: DataFrame, queries: DataFrame, k: int = 50) -> Da
         if name == "monolithic":
             hits = bm25(index, asked, k, k1=1.5)
         else:
-            hits = segment.best_passages(bm25(index, asked, 1 << 30, k1=1.5), own.select("passage_id", "doc_id"), k)
+            scored = bm25_scores(index, asked, k1=1.5).withColumn("score", F.round("score", DIGITS))
+            hits = segment.best_passages(scored, own.select("passage_id", "doc_id"), k)
         runs[name] = evaluate.metrics(evaluate.ranks(hits, known), cut_ndcg=False)
     return evaluate.compare(runs)
