@@ -11,7 +11,7 @@ pairs. Equal fingerprints are one point; links are joined to components by round
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -298,6 +298,9 @@ P, Q, WORDS = 4, 5, 8
 #: most frequent of them are told to every task. Any order gives the same links: this one keeps cells small.
 SHARE, LEAST, HEAVY = 500, 8, 100_000
 _RUN = 1 << 22  # shingles counted at once
+#: Distinct shingles of a cell's rows that are compared in one task, as CELL of its rows.
+LOAD = 1 << 20
+_NAMES = 1 << 18  # names a task of links_in remembers
 
 
 def shingle_counts(data: bytes | None, width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -382,44 +385,62 @@ def similar(apart, size):
     return (P + Q) * apart <= (Q - P) * size
 
 
-def near_copies(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> bool:
-    """Whether shingles are similar as sets, and also with as many repeats as the texts have. Without the first a passage
-    repeated often would make near copies of texts that share nothing else, without the second one of a short text and a long."""
-    _, x, y = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
-    n, m = len(one[0]) + len(other[0]), int(one[1].sum() + other[1].sum())
-    return similar(n - 2 * len(x), n) and similar(m - 2 * int(np.minimum(one[1][x], other[1][y]).sum()), m)
-
-
 def could_be_similar(n: np.ndarray, bits: Parities, k: int, others: np.ndarray) -> np.ndarray:
     """Those of `others` that by sizes (rows of n: distinct shingles, all) and parities may be similar to k: never fewer than are."""
     others = others[similar(np.abs(n[others] - n[k]), n[others] + n[k]).all(axis=1)]
     return others[similar(bits.apart(k, others), n[others, 0] + n[k, 0])]
 
 
-def cell_forest(n: np.ndarray, bits: Parities) -> list[tuple[int, int]]:
-    """Index pairs that connect all rows that may be similar, breadth first from the first row."""
-    links, left = [], np.arange(len(n))
+class Sets:
+    """Shingles of the texts of a group, to be compared as sets and also with as many repeats as the texts have. Without the first
+    a passage repeated often would make near copies of texts that share nothing else, without the second one of a short text
+    and a long."""
+
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        found = [shingle_counts(x, width) for x in texts]
+        self.n = np.array([[len(x), c.sum()] for x, c in found], np.int64).reshape(-1, 2)
+        self.bits = Parities([parities(x) for x, _ in found])
+        self.start = np.cumsum(self.n[:, 0]) - self.n[:, 0]
+        self.counts = np.concatenate([np.empty(0, np.int64), *(c for _, c in found)])
+        names, self.ids = np.unique(np.concatenate([np.empty(0, U64), *(x for x, _ in found)]), return_inverse=True)
+        self.held = np.zeros(len(names), np.int64)
+
+    def near_copies(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that are near copies of k."""
+        others = could_be_similar(self.n, self.bits, k, others)
+        if not len(others):
+            return others
+        own = slice(self.start[k], self.start[k] + self.n[k, 0])
+        self.held[self.ids[own]] = self.counts[own]
+        sizes = self.n[others, 0]  # none is empty: a text without words is similar to no other
+        edges = np.cumsum(sizes) - sizes
+        at = np.repeat(self.start[others] - edges, sizes) + np.arange(sizes.sum())
+        common = np.minimum(self.held[self.ids[at]], self.counts[at])
+        self.held[self.ids[own]] = 0
+        both = np.stack([np.add.reduceat((common > 0).astype(np.int64), edges), np.add.reduceat(common, edges)], axis=1)
+        size = self.n[others] + self.n[k]
+        return others[similar(size - 2 * both, size).all(axis=1)]
+
+
+def cell_forest(alike: Callable[[int, np.ndarray], np.ndarray], tree: np.ndarray, only: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs that connect all rows that are alike, breadth first; rows of one name in `tree` are connected from the start.
+    With `only`, no more than what is reached from the rows of that name."""
+    links, left = [], np.arange(len(tree))
     while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            k = queue.pop(0)
-            found = could_be_similar(n, bits, k, left)
-            links += [(k, x) for x in found.tolist()]
-            queue += found.tolist()
-            left = np.setdiff1d(left, found, assume_unique=True)
-    return links
-
-
-def cell_rest(n: np.ndarray, bits: Parities, group: np.ndarray, home: int | None, first: bool) -> list[tuple[int, int]]:
-    """All index pairs of different groups that may be similar: those with a row of the home group (by default the largest),
-    and in the first part of a cell those without."""
-    if home is None:
-        names, sizes = np.unique(group, return_counts=True)
-        home = names[sizes.argmax()]
-    every, links = np.arange(len(n)), []
-    for k in np.flatnonzero(group != home).tolist():
-        others = (group == home) | (group != group[k]) & (every > k) if first else group == home
-        links += [(k, x) for x in could_be_similar(n, bits, k, every[others]).tolist()]
+        reached = tree[left] == (tree[left[0]] if only is None else only)
+        queue, left = left[reached].tolist(), left[~reached]
+        for k in queue:  # it grows
+            if not len(left):
+                break
+            found = alike(k, left)
+            if len(found):
+                names, first = np.unique(tree[found], return_index=True)
+                links += [(k, x) for x in found[first].tolist()]
+                reached = np.isin(tree[left], names)
+                queue += left[reached].tolist()
+                left = left[~reached]
+        if only is not None:
+            break
     return links
 
 
@@ -474,79 +495,124 @@ def shared_cells(cells: DataFrame) -> DataFrame:
     return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(split, "cell long, a long, b long")
 
 
+def n_parts(rows, shingles):
+    """Parts of a cell of so many rows with so many distinct shingles."""
+    return F.ceil(F.greatest(rows / CELL, shingles / LOAD)).cast("int")
+
+
+def numbers(n):
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def parted(cells: DataFrame) -> DataFrame:
-    """Rows of cells (cell, node, n, m, bits, perhaps component) as (part, node, n, m, bits, component, home, first), each part
-    whole in a partition and in a run there.
+    """Rows of cells (cell, node, n, more, perhaps component) as (part, node, n, more, component, home, first), each part whole in
+    a partition and in a run there.
 
-    A cell of over CELL rows makes several parts, each row in one of them. With components, the rows of all but the largest
-    one (home) go to every part, so that they meet all; without, the least node does. So the rows sent grow with the cell.
+    A large cell makes several parts. Without components each row is in one of them and the least node (home) in all. With
+    components the largest (home) has parts of its own, and so has the rest; each part of the rest meets each of both, so that
+    all rows of different components meet (first: those of the rest). So the rows sent grow with the cell as long as the rest
+    is a part or two.
     """
     grouped = "component" in cells.columns
-    sizes = cells.groupBy("cell", *(["component"] if grouped else [])).agg(F.count(F.lit(1)).alias("n_rows"), F.min("node").alias("least"))
+    count = (F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n"))
     if grouped:
-        sizes = sizes.groupBy("cell").agg(F.max_by("component", F.struct("n_rows", "component")).alias("home"), F.sum("n_rows").alias("n_rows"))
+        sizes = cells.groupBy("cell", "component").agg(*count).groupBy("cell").agg(F.max(F.struct("n_rows", "component", "n")).alias("most"), F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"))
+        sizes = sizes.select("cell", F.col("most.component").alias("home"), n_parts(F.col("n_rows"), F.col("n")).alias("k"), n_parts(F.col("most.n_rows"), F.col("most.n")).alias("k_home"), n_parts(F.col("n_rows") - F.col("most.n_rows"), F.col("n") - F.col("most.n")).alias("k_rest"))
     else:
-        sizes = sizes.withColumnRenamed("least", "home")
-    large = staged(sizes.filter(F.col("n_rows") > CELL).select("cell", "home", F.ceil(F.col("n_rows") / CELL).cast("int").alias("k")), "large-cells")
+        sizes = cells.groupBy("cell").agg(*count, F.min("node").alias("home")).select("cell", "home", n_parts(F.col("n_rows"), F.col("n")).alias("k"), F.lit(1).alias("k_home"), F.lit(1).alias("k_rest"))
+    large = staged(sizes.filter("k > 1"), "large-cells")
     n_large = large.count()
+    rest = [c for c in cells.columns if c not in ("cell", "component")]
     if n_large:
         cells = cells.join(F.broadcast(large) if n_large <= BROADCAST else large, "cell", "left")
     else:
-        cells = cells.withColumn("home", F.lit(None).cast("long")).withColumn("k", F.lit(1))
-    k, own = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1)).cast("long")).cast("int")
-    everywhere = (F.col("component") != F.col("home")) if grouped else F.col("node") == F.col("home")
-    parts = F.when(F.coalesce(everywhere, F.lit(False)), F.sequence(F.lit(0), k - 1)).otherwise(F.array(own))
+        cells = cells.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("home", "long"), ("k", "int"), ("k_home", "int"), ("k_rest", "int"))))
+
+    def own(k: str):
+        return F.pmod(F.xxhash64("node"), F.col(k).cast("long")).cast("int")
+
+    def at(i, j, first: bool):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
+
+    if grouped:
+        home = F.transform(numbers(F.col("k_rest")), lambda j: at(own("k_home"), j, False))
+        others = F.concat(F.transform(numbers(F.col("k_home")), lambda i: at(i, own("k_rest"), False)), F.transform(numbers(F.col("k_rest")), lambda j: at(F.least(j, own("k_rest")), F.greatest(j, own("k_rest")), True)))
+        parts = F.when(F.col("component") == F.col("home"), home).otherwise(others)
+    else:
+        parts = F.transform(F.when(F.col("node") == F.col("home"), numbers(F.col("k"))).otherwise(F.array(own("k"))), lambda i: at(i, F.lit(0), True))
+    spread = cells.withColumn("at", F.explode(F.when(F.col("k").isNull(), F.array(at(F.lit(0), F.lit(0), True))).otherwise(parts)))
     component = F.col("component") if grouped else F.lit(None).cast("long").alias("component")
-    spread = cells.withColumn("at", F.explode(parts))
     # Parts are told apart by 64-bit hashes, as the shingles are.
-    part = F.when(F.col("k").isNull() | (F.col("k") == 1), F.col("cell")).otherwise(F.xxhash64("cell", "at")).alias("part")
+    part = F.when(F.col("k").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "at.i", "at.j", "at.first")).alias("part")
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.select(part, "node", "n", "m", "bits", component, "home", (F.col("at") == 0).alias("first")).repartition(n, "part").sortWithinPartitions("part", "home")
+    return spread.select(part, *rest, component, "home", F.col("at.first").alias("first")).repartition(n, "part").sortWithinPartitions("part", "home")
 
 
-def pairs_in(cells: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) in large cells of rows (cell, node, n, m, bits): with a column component, all that may be similar
-    and are of different components; without, some of them, that connect most of what may be similar."""
-    grouped = "component" in cells.columns
+def links_in(cells: DataFrame, tree: str, compare: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Links (a, b) of names (column `tree`) that connect the rows of each cell that are alike by `compare`, given the rows of one
+    name are connected. All cells of a task give one forest, so that a task sends no more links than it has names."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in whole_cells(batches):
-            every = rows.column(1).to_numpy()
-            n = np.stack([rows.column(2).to_numpy(), rows.column(3).to_numpy()], axis=1)
-            bits = rows.column(4).to_pylist()
-            group = rows.column(5).to_numpy() if grouped else None
-            a, b = [], []
-            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                at = start + np.argsort(every[start:end])  # the least node is the centre in each cell that holds the same rows
-                own = Parities([bits[k] for k in at.tolist()])
-                pairs = cell_rest(n[at], own, group[at], rows.column(6)[start].as_py(), rows.column(7)[start].as_py() is not False) if grouped else cell_forest(n[at], own)
-                if pairs:
-                    x, y = np.array(pairs).T
-                    a.append(np.minimum(every[at[x]], every[at[y]]))
-                    b.append(np.maximum(every[at[x]], every[at[y]]))
-            yield link_batch(a, b)
-
-    return parted(cells).mapInArrow(link, LINKS).distinct()
+        above: dict[int, int] = {}
 
+        def root(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, key: str, width: int) -> DataFrame:
-    """The pairs (a, b) of points whose texts are near copies."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = staged(points.select("node", key).join(asked, "node", "left_semi").join(docs.select(key, text_bytes().alias("data")), key).select("node", "data"), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("data").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, known = [], {}  # a centre's set is made once a batch
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a not in known:
-                    if len(known) == 64:
-                        known.clear()
-                    known[a] = shingle_counts(x.as_py(), width)
-                kept.append(near_copies(known[a], shingle_counts(y.as_py(), width)))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+        def forest() -> pa.RecordBatch:
+            return link_batch([np.array([root(x) for x in above], np.int64)], [np.array(list(above), np.int64)])
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, LINKS)
+        for rows, edges in whole_cells(batches):
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = rows.slice(start, end - start)
+                own = own.take(pa.array(np.argsort(own["node"].to_numpy())))
+                names = [root(x) for x in own[tree].to_pylist()]
+                if names.count(names[0]) == len(names):
+                    continue
+                only = None if own["first"][0].as_py() else root(own["home"][0].as_py())
+                for x, y in cell_forest(compare(own), np.array(names, np.int64), only):
+                    x, y = root(names[x]), root(names[y])
+                    above[max(x, y)] = min(x, y)
+                if len(above) > _NAMES:
+                    yield forest()
+                    above.clear()
+        yield forest()
+
+    return parted(cells).mapInArrow(link, LINKS).filter("a <> b").distinct()
+
+
+def pairs_in(cells: DataFrame, tree: str = "node") -> DataFrame:
+    """Links (a, b) that connect rows of cells (cell, node, n, m, bits, perhaps component) that may be similar."""
+
+    def compare(rows: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        n, bits = np.stack([rows["n"].to_numpy(), rows["m"].to_numpy()], axis=1), Parities(rows["bits"].to_pylist())
+        return lambda k, others: could_be_similar(n, bits, k, others)
+
+    return links_in(cells, tree, compare)
+
+
+def copies_in(cells: DataFrame, tree: str, width: int) -> DataFrame:
+    """Links (a, b) that connect rows of cells (cell, node, n, data, perhaps component) whose texts are near copies."""
+    return links_in(cells, tree, lambda rows: Sets(rows["data"].to_pylist(), width).near_copies)
+
+
+def linked_in(cells: DataFrame, find: Callable[[DataFrame, str], DataFrame], tree: str, more: DataFrame | None = None) -> DataFrame:
+    """node and component of all names (column `tree`) that the links of `find`, and those of `more`, connect in cells: within
+    the parts of the cells first; then, of cells of several parts, also rows that are not yet connected."""
+    links = find(cells, tree)
+    found = staged(components(links if more is None else links.unionByName(more)), "found")
+    many = staged(cells.groupBy("cell").agg(n_parts(F.count(F.lit(1)), F.sum("n")).alias("k")).filter("k > 1").select("cell"), "large-cells")
+    n_many = many.count()
+    if not n_many:
+        return found
+    again = cells.join(F.broadcast(many) if n_many <= BROADCAST else many, "cell", "left_semi")
+    names = again.groupBy(tree).agg(F.count(F.lit(1)).alias("n_rows")).join(found.withColumnRenamed("node", tree) if tree != "node" else found, tree, "left")
+    names = staged(names.select(tree, F.coalesce("component", tree).alias("component"), "n_rows"), "names")
+    n_rows = names.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    rest = staged(find(labelled(again, names, tree, n_rows), "component"), "links")
+    return found if rest.isEmpty() else staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "found")
 
 
 def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
@@ -554,21 +620,24 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
     similarity P / Q or more, both as sets and counted with repeats, and links are closed.
 
     An exact join. Similar sets share a hash among the first of each, and these are the cells; the pairs in a cell are tested
-    by sizes and parities, which reject no similar pair, and then on the shingles themselves. A cell of more than FEW rows
-    first gives only pairs that connect it; then all pairs that are still not connected by links. Rows of equal shingles
+    by sizes and parities, which reject no similar pair. Links of what passes make groups, and no similar pair is in two of them;
+    each group's texts meet in one task, or in parts, and are compared by their shingles there. No list of pairs is
+    made but of cells of up to FEW rows. Rows of equal shingles
     and counts, null texts and texts without words among them, are one point; shingles of equal 64-bit hashes count as equal;
     long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns are ignored.
     """
     with passing(docs.sparkSession):
         sets = staged(shingle_sets(docs, key, width), "sets")
         points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("n_rows")), "points")
+        n_points, n_rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+        groups = points.select("node", F.col("node").alias("group"))
         cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
         shared = staged(shared_cells(cells), "cells")
-        own = points.select("node", "n", "m", "bits")
+        own = points.select("node", "n", "m", "bits").join(groups, "node")
 
         few = shared.filter("cell is null").select("a", "b").distinct()
         for side in ("a", "b"):
-            few = few.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+            few = few.join(own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "m", "bits", "group"))), side)
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -576,18 +645,16 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
                 apart = np.array([bits_apart(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)], np.int64)
                 yield batch.select([0, 1]).filter(pa.array(similar(np.maximum(apart, np.abs(n_a - n_b)), n_a + n_b) & similar(np.abs(m_a - m_b), m_a + m_b)))
 
-        few = few.select("a", "b", "n_a", "n_b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(test, LINKS)
-        large = shared.filter("cell is not null").select("cell", F.col("a").alias("node")).join(own, "node").select("cell", "node", "n", "m", "bits")
-        pairs = staged(few.unionByName(pairs_in(large)).distinct(), "pairs")
-        links = staged(verified(pairs, points, docs, key, width), "links")
-        found = staged(components(links), "found")
-        grouped = large.join(found, "node", "left").select("cell", "node", "n", "m", "bits", F.coalesce("component", "node").alias("component"))
-        rest = staged(pairs_in(grouped).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = staged(verified(rest, points, docs, key, width), "links")
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        few = few.filter("group_a <> group_b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"), "n_a", "n_b", "m_a", "m_b", "bits_a", "bits_b").mapInArrow(test, LINKS)
+        large = shared.filter("cell is not null").select("cell", F.col("a").alias("node")).join(own, "node").select("cell", "node", "n", "m", "bits", "group")
+        wide = linked_in(large, pairs_in, "group", few)
+        names = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_rows")).join(wide.withColumnRenamed("node", "group"), "group", "left").select("group", F.coalesce("component", "group").alias("cell"), "n_rows")
+        placed = staged(labelled(groups, names, "group", n_points).select("node", "cell"), "placed")
+        many = placed.groupBy("cell").agg(F.lit(True).alias("many"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
+        asked = labelled(placed, many, "cell", n_points).select("node", "cell").join(points.select("node", key, "n"), "node")
+        texts = staged(asked.join(docs.select(key, text_bytes().alias("data")), key).select("cell", "node", "n", "data"), "texts")
+        found = linked_in(texts, lambda rows, tree: copies_in(rows, tree, width), "node")
         names = points.select("node", "n_rows").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n_rows")
-        n_rows = points.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
         return staged(labelled(sets.select(key, "node"), names, "node", n_rows).select(key, "component"), "groups", last=True)
 
 

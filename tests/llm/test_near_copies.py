@@ -141,3 +141,27 @@ def test_temporary_tables_go(spark, tmp_path):
     out = simhash.one_of_each(docs)
     left = {p.parent.name.rsplit("-", 1)[0] for p in __import__("pathlib").Path(common.shared_dir(spark).removeprefix("file://")).rglob("*.parquet") if p not in before}
     assert left == {"rows", "groups"} and out.count() == 2
+
+
+def test_rows_do_not_grow_with_pairs(spark, monkeypatch):
+    """Nearly all pairs of a group pass sizes and parities, and few are similar: no table lists them."""
+    cells = spark.createDataFrame([(1, k, 10, 10, bytes(64), k) for k in range(200)], "cell long, node long, n long, m long, bits binary, component long")
+    assert simhash.pairs_in(cells).count() == 199
+    rng, made, staged = random.Random(6), {}, simhash.staged
+    base, texts = words(rng, 1004), []
+    for k in range(40):
+        text = list(base)
+        for i in rng.sample(range(100), 15):  # each changes five shingles
+            text[i * 10 + 2] = f"own{k}x{i}"
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+
+    def counted(df, name, last=False):
+        out = staged(df, name, last)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    assert kept(spark, rows) == kept_by_brute_force(rows)
+    assert len(kept_by_brute_force(rows)) > 20 and made["texts"] == 40
+    assert all(n <= 80 for name, n in made.items() if name != "cells")
