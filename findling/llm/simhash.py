@@ -11,7 +11,7 @@ pairs. Equal fingerprints are one point; links are joined to components by round
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -60,8 +60,13 @@ def fingerprint(data: bytes | None, width: int = SHINGLE, words: int = 1, seed:
 
     Bits beyond the first 64 come from further mixings of the same hashes. A text without words gives zeros.
     """
+    return votes(shingle_hashes(data or b"", width, seed), words)
+
+
+def votes(runs: Iterable[np.ndarray], words: int = 1) -> bytes:
+    """The fingerprint of hashes that come in runs."""
     counts, total = np.zeros(64 * words, np.int64), 0
-    for hashes in shingle_hashes(data or b"", width, seed):
+    for hashes in runs:
         for at in range(0, len(hashes), _HALF):
             part = hashes[at : at + _HALF]
             total += len(part)
@@ -272,6 +277,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(small, "stars")
 
 
+def linked_prints(prints: DataFrame, n_prints: int, distance: int) -> DataFrame:
+    """node and component of the distinct prints (w0) that are within `distance` of others, by the grid of segment counts."""
+    points = prints.select(F.col("w0").alias("node"), "w0")
+    return components(cell_links(grid_cells(points, distance, choose_blocks(n_prints, distance)), 1, distance))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of docs.
 
@@ -283,8 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
     prints = staged(fingerprints(docs, "doc_id", width, 1, seed), "prints")
     points = staged(prints.groupBy("w0").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "points").withColumn("node", F.col("w0"))
     n_points, n_rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    blocks = choose_blocks(n_points, distance)
-    found = components(cell_links(grid_cells(points.select("node", "w0"), distance, blocks), 1, distance))
+    found = linked_prints(points, n_points, distance)
     grouped = staged(points.join(found, "node", "left").select("w0", "least", "n_rows", F.coalesce("component", "node").alias("component")), "grouped")
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_rows"))
     named = labelled(grouped.select("w0", "component", F.col("n_rows").alias("n")), names, "component", n_points)
@@ -445,7 +455,8 @@ def cell_forest(alike: Callable[[int, np.ndarray], np.ndarray], tree: np.ndarray
 
 
 def shingle_sets(docs: DataFrame, key: str, width: int) -> DataFrame:
-    """key, node (a hash of the shingles and their counts), n (distinct shingles), m (all), bits (parities) and keys (prefix) of every row."""
+    """key, node (a hash of the shingles and their counts), n (distinct shingles), m (all), bits (parities), w0 (fingerprint) and keys
+    (prefix) of every row."""
     late = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, width))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,9 +467,10 @@ def shingle_sets(docs: DataFrame, key: str, width: int) -> DataFrame:
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             node = np.array([xxhash.xxh64_intdigest(x.tobytes() + c.tobytes(), SEED) for x, c in zip(sets, counts, strict=True)], U64).view(np.int64)
             values = np.concatenate([np.empty(0, U64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([parities(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(values))], [key, "node", "n", "m", "bits", "keys"])
+            prints = np.frombuffer(b"".join([votes([np.repeat(x, c)]) for x, c in zip(sets, counts, strict=True)]), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(prints), pa.ListArray.from_arrays(ends, pa.array(values))], [key, "node", "n", "m", "bits", "w0", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text_bytes().alias("data")).mapInArrow(make, f"{key} long, node long, n long, m long, bits binary, keys array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text_bytes().alias("data")).mapInArrow(make, f"{key} long, node long, n long, m long, bits binary, w0 long, keys array<long>")
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
@@ -619,18 +631,23 @@ def similar_documents(docs: DataFrame, key: str, width: int = 5) -> DataFrame:
     """key (a different number in each row) and component of every row: rows are linked where their shingles have Jaccard
     similarity P / Q or more, both as sets and counted with repeats, and links are closed.
 
-    An exact join. Similar sets share a hash among the first of each, and these are the cells; the pairs in a cell are tested
-    by sizes and parities, which reject no similar pair. Links of what passes make groups, and no similar pair is in two of them;
-    each group's texts meet in one task, or in parts, and are compared by their shingles there. No list of pairs is
+    The rows are points of operator 10: SimHash fingerprints of the shingles, cells of their segment counts, and links up to
+    DISTANCE differing bits make the first groups. Similar texts may differ in more bits, for which there is an exact way:
+    similar sets share a hash among the first of each; pairs of different groups in the cells of these are tested by sizes
+    and parities, which reject no similar pair, and what passes joins their groups. So no similar pair is in two groups. Then
+    the exact check: each group's texts meet in one task, or in parts, and are linked by their shingles. No list of pairs is
     made but of cells of up to FEW rows. Rows of equal shingles
     and counts, null texts and texts without words among them, are one point; shingles of equal 64-bit hashes count as equal;
     long texts are read a bounded run of words at a time; an empty table gives an empty one; other columns are ignored.
     """
     with passing(docs.sparkSession):
         sets = staged(shingle_sets(docs, key, width), "sets")
-        points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("n_rows")), "points")
+        points = staged(sets.groupBy("node").agg(F.min(key).alias(key), F.first("n").alias("n"), F.first("m").alias("m"), F.first("bits").alias("bits"), F.first("w0").alias("w0"), F.count(F.lit(1)).alias("n_rows")), "points")
         n_points, n_rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-        groups = points.select("node", F.col("node").alias("group"))
+        prints = staged(points.groupBy("w0").agg(F.count(F.lit(1)).alias("n_rows")), "prints")
+        near = linked_prints(prints, prints.count(), DISTANCE)
+        names = prints.join(near, F.col("w0") == F.col("node"), "left").select("w0", F.coalesce("component", "w0").alias("group"), "n_rows")
+        groups = staged(labelled(points.select("node", "w0"), names, "w0", n_points).select("node", "group"), "prints")
         cells = sets.join(points.select(key), key, "left_semi").select(F.explode("keys").alias("cell"), "node")
         shared = staged(shared_cells(cells), "cells")
         own = points.select("node", "n", "m", "bits").join(groups, "node")

@@ -165,3 +165,24 @@ def test_rows_do_not_grow_with_pairs(spark, monkeypatch):
     assert kept(spark, rows) == kept_by_brute_force(rows)
     assert len(kept_by_brute_force(rows)) > 20 and made["texts"] == 40
     assert all(n <= 80 for name, n in made.items() if name != "cells")
+
+
+@pytest.mark.parametrize("distance", [4, 12])
+def test_near_dedup_comes_through_the_grid_of_fingerprints(spark, monkeypatch, distance):
+    rng, seen = random.Random(7), {}
+    texts = many(rng) + [x for _ in range(5) for x in pair(rng, 300, 2, 2)]
+    rows, linked_prints = list(enumerate(texts)), simhash.linked_prints
+
+    def spied(prints, n_prints, d):
+        seen["prints"] = {r.w0 for r in prints.collect()}
+        out = linked_prints(prints, n_prints, d)
+        seen["linked"] = {r.node: r.component for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(simhash, "linked_prints", spied)
+    monkeypatch.setattr(simhash, "DISTANCE", distance)
+    assert kept(spark, rows) == kept_by_brute_force(rows)
+    prints = [int.from_bytes(simhash.fingerprint((t or "").encode(), 5), "little", signed=True) for t in texts]
+    assert seen["prints"] == set(prints)
+    near = {(a, b) for a in seen["prints"] for b in seen["prints"] if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
+    assert near and set(seen["linked"]) == {x for p in near for x in p} and all(seen["linked"][a] == seen["linked"][b] for a, b in near)
