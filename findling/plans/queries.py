@@ -518,13 +518,18 @@ def pair_ranker(spark, d):
 def lsh_recall(spark, d):
     """Share of the exact cosine top 10 that random-projection buckets find."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     vectors = doc_vectors(spark, d).select("doc_id", array_to_vector(vx.unit(F.col("embedding"))).alias("v"))
     asked_of = query_vectors(spark, d).filter(F.col("embedding").isNotNull()).select("query_id", array_to_vector(vx.unit(F.col("embedding"))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=6, seed=7).fit(vectors)
-    near = model.approxSimilarityJoin(asked_of, vectors, 1.5, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"), (-F.col("distance")).alias("score"))
-    top = retrieve.ranked(near, 10, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", F.lit(1).alias("found"))
+
+    def hashed(rows, key):
+        homes = F.array(*(F.get(vector_to_array(F.get("h", F.lit(n))), F.lit(0)) for n in range(model.getNumHashTables())))
+        return model.transform(rows).select(key, vector_to_array("v").alias("v"), homes.alias("buckets"))
+
+    near = retrieve.bucketed(hashed(asked_of, "query_id"), hashed(vectors, "doc_id"), 10, 1.5)
+    top = near.select("query_id", "doc_id", F.lit(1).alias("found"))
     return dense(spark, d, 10).join(top, ["query_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("found", F.lit(0))), 4).alias("recall"))
 
 
