@@ -1,9 +1,12 @@
-"""Text functions as column expressions; all stay in the JVM."""
+"""Text functions as column expressions; all but the counts for an index stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +79,41 @@ def term_counts(tokens: Column) -> Column:
     return let(F.array_sort(tokens), of_sorted)
 
 
+COUNTED = "struct<dl:int,own:array<struct<term:string,tf:int>>>"
+_PART = 256  # texts whose words are Python objects at once
+
+
+def _counted(c: Column, find: Callable[[str], list[str]], good: Callable[[str], bool]) -> Column:
+    def count(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(texts), _PART):
+            sizes, ends, terms, counts = [], [0], [], []
+            for text in texts.slice(at, _PART).to_pylist():
+                own = sorted((t, n) for t, n in Counter(find(text)).items() if good(t))
+                terms.extend(t for t, _ in own)
+                counts.extend(n for _, n in own)
+                sizes.append(sum(n for _, n in own))
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["term", "tf"])
+            parts.append(pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["dl", "own"]))
+        empty = pa.array([], pa.struct([("dl", pa.int32()), ("own", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))]))
+        return pa.concat_arrays(parts) if parts else empty
+
+    return F.arrow_udf(count, COUNTED)(c)
+
+
+def counted_terms(c: Column) -> Column:
+    """Number of terms() and term_counts() of them, counted by an Arrow function: expressions with lambdas run word by word.
+    What a letter is, Java's version of Unicode says here too."""
+    stop, parted = frozenset(MATCHING_STOPWORDS), F.regexp_replace(F.lower(present(c)), r"[^\p{L}\p{N}_]+", " ")
+    return _counted(parted, str.split, lambda t: t.isascii() and "_" not in t and t not in stop)
+
+
+def counted_words(c: Column) -> Column:
+    """Number of lower_words() and term_counts() of them."""
+    return _counted(F.lower(present(c)), re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall, lambda _: True)
+
+
 def clean(c: Column) -> Column:
     """Single spaces, at most one empty line in a row, nothing at the ends."""
     return strip(F.regexp_replace(F.regexp_replace(present(c), "[ \t]+", " "), "\n{3,}", "\n\n"))

@@ -194,8 +194,8 @@ def claim_edges(segments: DataFrame) -> DataFrame:
     return claims_of(segments).select("doc_id", "claim_id", F.explode("parent_claims").alias("parent_id"))
 
 
-def passages(segments: DataFrame) -> DataFrame:
-    """doc_id, passage_id, segment_type, text of all parts that can be searched for."""
+def passage_rows() -> Column:
+    """array<struct<passage_id, segment_type, text>> of all parts of a segmented document that can be searched for."""
     head = F.concat(F.lit("Title: "), F.col("title"), F.lit("\n"))
 
     def row(name: Column, kind: str, text: Column) -> Column:
@@ -204,16 +204,12 @@ def passages(segments: DataFrame) -> DataFrame:
     abstract = F.filter(F.array(row(F.lit("SEC-ABSTRACT"), "ABSTRACT", F.concat(head, F.lit("Abstract: "), F.col("abstract")))), lambda _: F.col("abstract") != "")
     paragraphs = F.transform("paragraphs", lambda p: row(p["segment_id"], "PARAGRAPH", F.concat(head, F.lit("["), F.when(p["heading"] != "", p["heading"]).otherwise("PARAGRAPH"), F.lit("]: "), p["text"])))
     claims = F.transform("claims", lambda c: row(c["segment_id"], "CLAIM", F.concat(head, F.lit("Claim "), c["claim_id"].cast("string"), F.lit(" ("), c["claim_type"], F.lit("): "), c["text"])))
-    return segments.select("doc_id", F.inline(F.concat(abstract, paragraphs, claims)))
-
+    return F.concat(abstract, paragraphs, claims)
 
-def best_passages(hits: DataFrame, passage_docs: DataFrame, k: int) -> DataFrame:
-    """Parents ranked by their best passage: hits(query_id, doc_id = passage_id, score), passage_docs(passage_id, doc_id)."""
-    from findling.operators.retrieve import ranked
 
-    own = hits.select("query_id", F.col("doc_id").alias("passage_id"), "score").join(passage_docs, "passage_id")
-    best = own.groupBy("query_id", "doc_id").agg(F.max(F.struct("score", F.lit(0).alias("_"))).alias("top"), F.min_by("passage_id", F.struct(-F.col("score"), "passage_id")).alias("passage_id"))
-    return ranked(best.select("query_id", "doc_id", F.col("top.score").alias("score"), "passage_id"), k, F.desc("score"), F.asc("doc_id"))
+def passages(segments: DataFrame) -> DataFrame:
+    """doc_id, passage_id, segment_type, text."""
+    return segments.select("doc_id", F.inline(passage_rows()))
 
 
 # What stands for a structure where there is no client, and where an answer cannot be read.

@@ -43,7 +43,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         if self.index is None:
-            self.index = build(self.docs, tx.terms(F.concat_ws(" ", *(tx.present(F.col(c)) for c in ("title", "abstract", "summary")))))
+            self.index = build(self.docs, tx.counted_terms(F.concat_ws(" ", *(tx.present(F.col(c)) for c in ("title", "abstract", "summary")))))
 
     @property
     def spark(self) -> SparkSession:
@@ -52,7 +52,7 @@ class Engine:
     def multi_field(self, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
         """BM25 in four boosted fields, the best of which counts."""
         if not self.fields:
-            self.fields = build_fields(self.docs, {c: tx.terms(F.col(c)) for c in BOOSTS})
+            self.fields = build_fields(self.docs, {c: tx.counted_terms(F.col(c)) for c in BOOSTS})
         return retrieve.best_field(self.fields, retrieve.query_terms(queries, tx.terms(F.col("query"))), BOOSTS, k)
 
     def lexical(self, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from findling.functions import text as tx
 from findling.operators import evaluate, mine, segment
-from findling.operators.index import build
-from findling.operators.retrieve import DIGITS, bm25, bm25_scores, query_terms
+from findling.operators.index import counted_rows, of_counted
+from findling.operators.retrieve import best_passages, bm25, query_terms
 from findling.plans.engine import Engine
 from findling.sources import tables
+from findling.sources.shared import written
 
 
 def build_corpus(spark: SparkSession, raw_path: str, out_path: str, n: int | None = 10_000) -> None:
@@ -58,15 +59,10 @@ def compare_passages(segments: DataFrame, queries: DataFrame, k: int = 50) -> Da
     """Whole documents against best passages, both with library-default BM25 over white-space words; evaluate.deltas() gives the differences."""
     known = queries.select("query_id", "relevant_doc_id")
     asked = query_terms(queries, tx.lower_words(F.col("query")))
-    own = segment.passages(segments)
-    whole = segments.select("doc_id", F.concat_ws(" ", "title", "abstract", "body").alias("text"))
-    runs = {}
-    for name, rows, key in (("monolithic", whole, "doc_id"), ("passage_maxp", own, "passage_id")):
-        index = build(rows, tx.lower_words(F.col("text")), key)
-        if name == "monolithic":
-            hits = bm25(index, asked, k, k1=1.5)
-        else:
-            scored = bm25_scores(index, asked, k1=1.5).withColumn("score", F.round("score", DIGITS))
-            hits = segment.best_passages(scored, own.select("passage_id", "doc_id"), k)
-        runs[name] = evaluate.metrics(evaluate.ranks(hits, known), cut_ndcg=False)
-    return evaluate.compare(runs)
+    whole = F.struct(F.lit(None).cast("string").alias("passage_id"), F.lit("WHOLE").alias("segment_type"), F.concat_ws(" ", "title", "abstract", "body").alias("text"))
+    texts = segments.select("doc_id", F.inline(F.concat(F.array(whole), segment.passage_rows())))
+    # both from one pass over the segments; of their texts only the counts are written
+    counted = written(counted_rows(texts.withColumnRenamed("doc_id", "parent"), tx.counted_words(F.col("text")), "passage_id", "parent", "segment_type"), "counted", "segment_type")
+    documents, own = counted.filter("segment_type = 'WHOLE'").withColumn("doc_id", F.col("parent")).drop("parent"), counted.filter("segment_type <> 'WHOLE'")
+    runs = {"monolithic": bm25(of_counted(documents), asked, k, k1=1.5), "passage_maxp": best_passages(of_counted(own), asked, k, k1=1.5)}
+    return evaluate.compare({name: evaluate.metrics(evaluate.ranks(hits, known), cut_ndcg=False) for name, hits in runs.items()})

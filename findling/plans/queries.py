@@ -39,11 +39,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.present(F.col("text")).alias("text"))
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, title, abstract, summary, search_text."""
+def corpus(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """doc_id, title, abstract, summary, further columns of documents(), search_text."""
     rows = F.split(F.col("text"), "\n")
     abstract, summary = tx.clean(F.get(rows, F.lit(0))), tx.clean(F.array_join(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), "\n"))
-    named = documents(spark, d).select("doc_id", tx.title_of(tx.clean(F.col("text"))).alias("title"), abstract.alias("abstract"), summary.alias("summary"))
+    named = documents(spark, d).select("doc_id", tx.title_of(tx.clean(F.col("text"))).alias("title"), abstract.alias("abstract"), summary.alias("summary"), *more)
     return named.withColumn("search_text", tx.search_text(F.col("title"), F.col("abstract"), F.col("summary")))
 
 
@@ -64,7 +64,7 @@ def prepared(spark: SparkSession, d: str, name: str, make: Callable[[], Index |
 
 
 def text_index(spark: SparkSession, d: str) -> Index:
-    return prepared(spark, d, "text", lambda: build(documents(spark, d), tx.terms(F.col("text"))))
+    return prepared(spark, d, "text", lambda: build(documents(spark, d), tx.counted_terms(F.col("text"))))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,7 @@ def spec_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.segmented(corpus(spark, d).select("doc_id", "title", "abstract").join(documents(spark, d).select("doc_id", F.col("text").alias("full_text")), "doc_id"))
+    return segment.segmented(corpus(spark, d, "text").select("doc_id", "title", "abstract", F.col("text").alias("full_text")).filter("doc_id is not null"))
 
 
 # Text
@@ -232,13 +232,13 @@ def bm25_top10(spark, d):
 
 @query
 def bm25_default_k1(spark, d):
-    index = build(documents(spark, d), tx.lower_words(F.col("text")))
+    index = build(documents(spark, d), tx.counted_words(F.col("text")))
     return shown(retrieve.bm25(index, retrieve.query_terms(items(spark, d), tx.lower_words(F.col("query"))), 10, k1=1.5))
 
 
 @query
 def bm25_multifield(spark, d):
-    fields = prepared(spark, d, "fields", lambda: build_fields(corpus(spark, d), {c: tx.terms(F.col(c)) for c in BOOSTS}))
+    fields = prepared(spark, d, "fields", lambda: build_fields(corpus(spark, d), {c: tx.counted_terms(F.col(c)) for c in BOOSTS}))
     return shown(retrieve.best_field(fields, asked(spark, d), BOOSTS, 10))
 
 
@@ -407,9 +407,8 @@ def segment_stats(spark, d):
 @query
 def maxp_top10(spark, d):
     turns = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("passage_id"), F.col("conv_id").alias("doc_id"), tx.present(F.col("text")).alias("text"))
-    index = build(turns, tx.terms(F.col("text")), "passage_id")
-    hits = retrieve.bm25_scores(index, asked(spark, d)).withColumn("score", F.round("score", retrieve.DIGITS))
-    return shown(segment.best_passages(hits, turns.select("passage_id", "doc_id"), 10), "passage_id")
+    index = build(turns, tx.counted_terms(F.col("text")), "passage_id", parent="doc_id")
+    return shown(retrieve.best_passages(index, asked(spark, d), 10), "passage_id")
 
 
 @query

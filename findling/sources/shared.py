@@ -31,10 +31,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """df as a table in the shared folder, so that what follows reads it instead of computing it again."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -46,3 +46,56 @@ def test_best_holds_k_of_each_query_over_parts():
     got = list(zip(best.rows.tolist(), best.scores.tolist(), best.keys.tolist(), strict=True))
     want = [(n, -s, k) for n in range(4) for s, k in sorted((-scores[n, m], keys[m]) for m in range(500) if scores[n, m] > -np.inf)[:7]]
     assert got == want
+
+
+def _texts(spark, n=400):
+    rng = np.random.default_rng(11)
+    rows = [(k, k // 3, " ".join(rng.choice(["the", "a", "steel", "lamp", "é", "frame", "x1", "rod"], size=rng.integers(0, 12)).tolist())) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, home long, text string").repartition(5)
+
+
+def _plain(rows, query, k1=1.2):
+    import math
+    from collections import Counter
+
+    own = {k: t.split() for k, _, t in rows}
+    df, avg = Counter(w for t in own.values() for w in set(t)), sum(map(len, own.values())) / len(own)
+    raw = {w: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+    asked = [w for w in query.split() if w in df]
+    return {k: round(sum(idf[w] * t.count(w) * (k1 + 1) / (t.count(w) + k1 * (0.25 + 0.75 * len(t) / avg)) for w in asked), 6) for k, t in own.items() if set(t) & set(asked)}
+
+
+def test_scores_where_documents_lie(spark, monkeypatch):
+    from findling.functions import text as tx
+    from findling.operators.index import build
+
+    monkeypatch.setattr(retrieve, "HELD", 90)  # many parts of a batch
+    rows, docs = _texts(spark)
+    asked = {1: "steel lamp steel", 2: "the frame zz", 3: "zz", 4: ""}
+    queries = retrieve.query_terms(spark.createDataFrame(list(asked.items()), "query_id long, query string"), tx.lower_words(F.col("query")))
+    hits = retrieve.bm25(build(docs, tx.counted_words(F.col("text"))), queries, 20)
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+    want = {(q, k): s for q, text in asked.items() for s, k in [(-s, k) for s, k in sorted((-s, k) for k, s in _plain(rows, text).items())[:20]]}
+    got = {(r.query_id, r.doc_id): r.score for r in hits.collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+    nested = retrieve.best_passages(build(docs, tx.counted_words(F.col("text")), parent="home"), queries, 15)
+    home, best = {k: h for k, h, _ in rows}, {}
+    for q, text in asked.items():
+        for k, s in sorted(_plain(rows, text).items()):
+            if (q, home[k]) not in best or s > best[q, home[k]][0]:
+                best[q, home[k]] = (s, k)
+    kept = {(q, h): best[q, h] for q in asked for _, h in sorted((-s, h) for (p, h), (s, _) in best.items() if p == q)[:15]}
+    found = {(r.query_id, r.doc_id): (r.score, r.passage_id) for r in nested.collect()}
+    assert set(found) == set(kept) and all(abs(found[x][0] - kept[x][0]) < 2e-6 and found[x][1] == kept[x][1] for x in kept)
+
+
+def test_counted_words_are_those_of_the_expressions(spark):
+    from findling.functions import text as tx
+
+    odd = ["The Optical-Fiber, fiber don't", "naïve café x1 foo_bar\x1cbaz é", "", None, "İI ࡰa b c\x85d"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, x string")
+    for plain, counted in ((tx.terms, tx.counted_terms), (tx.lower_words, tx.counted_words)):
+        for r in df.select(tx.term_counts(plain(F.col("x"))).alias("p"), F.size(plain(F.col("x"))).alias("n"), counted(F.col("x")).alias("q")).collect():
+            assert r.p == r.q.own and r.n == r.q.dl
