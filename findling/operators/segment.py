@@ -49,49 +49,84 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.observe(f"segment-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("n"))
 
 
-def spans(text: Column, end: Column, patterns: dict[str, str], needed: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """array<struct<start, stop, kind, heading, text, word_count>> of all matches of each pattern, by start, then by the order of
-    the patterns. A match has the text from its end to the start of the next one (the last one: to `end`), stripped.
-    Null gives null. needed: for a kind, capitals of which any match has one; other texts are not searched for it."""
-    machines = [(kind, (needed or {}).get(kind, ()), re.compile(p.replace("U)", ")", 1).replace("(?)", "", 1))) for kind, p in patterns.items()]
-    names = ["start", "stop", "kind", "heading", "text", "word_count"]
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-
-    def find(texts: pa.Array, ends: pa.Array) -> pa.Array:
-        offsets, columns, total = [], [[] for _ in names], 0
-        for own, end in zip(texts.to_pylist(), ends.to_pylist(), strict=True):
-            if own is None:
-                offsets.append(None)
-                continue
-            offsets.append(total)
-            capitals = own.upper() if needed else ""
-            found = []
-            for n, (kind, keys, machine) in enumerate(machines):
-                if not keys or any(k in capitals for k in keys):
-                    found.extend((m.start(), n, m.end(), kind, m.group()) for m in machine.finditer(own))
-            found.sort()
-            for k, (start, _, stop, kind, heading) in enumerate(found):
-                body = own[stop : found[k + 1][0] if k + 1 < len(found) else end].strip()
-                for column, value in zip(columns, (start, stop, kind, heading.strip(), body, len(body.split())), strict=True):
-                    column.append(value)
-            total += len(found)
-        offsets.append(total)
-        rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    return F.arrow_udf(find, "array<struct<start:int,stop:int,kind:string,heading:string,text:string,word_count:int>>")(text, end)
+def _machine(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("U)", ")", 1).replace("(?)", "", 1))
+
+
+_MARKS = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("heading", pa.string()), ("text", pa.string()), ("word_count", pa.int32())])
+_MARK = "array<struct<start:int,stop:int,kind:string,heading:string,text:string,word_count:int>>"
+_HELD = 1 << 20  # characters whose marks are Python objects at once
+
+
+def _spans(text: str, end: int, machines: list[tuple[str, tuple[str, ...], re.Pattern]]) -> list[tuple]:
+    """All matches of each pattern, by start, then by the order of the patterns: start, stop, kind, heading, text, words. A match
+    has the text from its end to the start of the next one (the last one: to `end`), stripped."""
+    capitals = text.upper() if any(keys for _, keys, _ in machines) else ""
+    found = []
+    for n, (kind, keys, machine) in enumerate(machines):
+        if not keys or any(k in capitals for k in keys):
+            found.extend((m.start(), n, m.end(), kind, m.group()) for m in machine.finditer(text))
+    found.sort()
+    nexts = [x[0] for x in found[1:]] + [end]
+    bodies = [text[x[2] : stop].strip() for x, stop in zip(found, nexts, strict=False)]
+    return [(start, stop, kind, heading.strip(), body, len(body.split())) for (start, _, stop, kind, heading), body in zip(found, bodies, strict=True)]
+
+
+def _as_arrow(rows: list[list[tuple] | None]) -> pa.Array:
+    flat, offsets, total = [x for own in rows if own for x in own], [], 0
+    for own in rows:
+        offsets.append(None if own is None else total)
+        total += len(own or ())
+    columns = list(zip(*flat, strict=True)) or [()] * len(_MARKS)
+    return pa.ListArray.from_arrays(pa.array([*offsets, total], pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MARKS, strict=True)], fields=list(_MARKS)))
+
+
+def marks(body: Column, stop_at_claims: bool = False) -> Column:
+    """struct<sections, paragraphs, claims> of spans, and the `end` of the last paragraph, all from one pass of a text through
+    Python; null gives nulls. Claims are looked for in the first claims section, or else after the first claims header.
+    Texts are taken a bounded number of characters at a time, so that only Arrow's own columns grow with a batch."""
+    headers = [(kind, HEADER_KEYS.get(kind, ()), _machine(p)) for kind, p in HEADER_PATTERNS.items()]
+    numbered, numbers, header = [("PARAGRAPH", (), _machine(PARAGRAPH_MARK))], [("CLAIM", (), _machine(CLAIM_MARK))], _machine(HEADER_PATTERNS["CLAIMS"])
+    kind = pa.struct([("sections", pa.list_(_MARKS)), ("paragraphs", pa.list_(_MARKS)), ("claims", pa.list_(_MARKS)), ("end", pa.int32())])
+
+    def of(text: str | None) -> tuple:
+        if text is None:
+            return None, None, [], None
+        sections = _spans(text, len(text), headers)
+        own = next((s for s in sections if s[2] == "CLAIMS"), None)
+        end = min(len(text), own[0]) if own and stop_at_claims else len(text)
+        claims = "" if own is None else own[4] or (header.split(text, 1)[1:] or [""])[0]
+        return sections, _spans(text, end, numbered), _spans(claims, len(claims), numbers), end
+
+    def find(texts: pa.Array) -> pa.Array:
+        parts, at, size = [], 0, 0
+        held: list[tuple] = []
+        while at < len(texts):
+            while at < len(texts) and (not held or size < _HELD):
+                text = texts[at].as_py()
+                held.append(of(text))
+                at, size = at + 1, size + len(text or "")
+            columns = list(zip(*held, strict=True))
+            parts.append(pa.StructArray.from_arrays([*(_as_arrow(list(c)) for c in columns[:3]), pa.array(columns[3], pa.int32())], fields=list(kind)))
+            held, size = [], 0
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(find, f"struct<sections:{_MARK},paragraphs:{_MARK},claims:{_MARK},end:int>")(body)
 
 
 def _count(c: Column) -> Column:
     return tx.word_count(c)
 
 
-def with_sections(docs: DataFrame) -> DataFrame:
-    """Adds `body` (text with LF line ends) and `sections` to docs(..., full_text)."""
+def marked(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
+    """Adds `body` (text with LF line ends) and `_found`, its marks, to docs(..., full_text)."""
     body = kept(docs.withColumn("body", tx.unix_lines(F.col("full_text"))))
+    return kept(body.withColumn("_found", marks(F.col("body"), stop_at_claims)))
+
 
-    marked = kept(body.withColumn("_marks", spans(F.col("body"), F.length("body"), HEADER_PATTERNS, HEADER_KEYS)))
-    m, size = F.col("_marks"), F.length("body")
+def with_sections(docs: DataFrame) -> DataFrame:
+    """Adds `sections` to marked()."""
+    m, size = F.col("_found.sections"), F.length("body")
 
     def section(x: Column, i: Column) -> Column:
         stop = F.coalesce(F.get(m, i + 1)["start"], size)
@@ -104,20 +139,16 @@ def with_sections(docs: DataFrame) -> DataFrame:
     first = F.get(m, F.lit(0))["start"]
     lead = (first > 100) & (F.length(tx.strip(F.substring(F.col("body"), F.lit(1), first))) > 30)
     found = F.concat(F.when(lead, F.array(whole("SEC-000", "PREAMBLE", first, False))).otherwise(F.array().cast(SECTIONS)).cast(SECTIONS), F.transform(m, section).cast(SECTIONS))
-    return kept(marked.withColumn("sections", F.when(F.size(m) > 0, found).otherwise(F.array(whole("SEC-001", "BODY", size, True)).cast(SECTIONS))).drop("_marks"))
+    return kept(docs.withColumn("sections", F.when(F.size(m) > 0, found).otherwise(F.array(whole("SEC-001", "BODY", size, True)).cast(SECTIONS))))
 
 
-def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
+def with_paragraphs(docs: DataFrame) -> DataFrame:
     """Adds `paragraphs`: numbered ones if there are two at least, else blocks between empty lines outside the claims. The last
     numbered paragraph runs to the end of the text; with stop_at_claims, to the claims."""
-    sections = F.col("sections")
-    claims = F.get(F.filter(sections, lambda s: s["segment_type"] == "CLAIMS"), F.lit(0))["start_char"]
-    end = F.least(F.length("body"), F.coalesce(claims, F.length("body"))) if stop_at_claims else F.length("body")
-    marked = kept(docs.withColumn("_end", end).withColumn("_marks", spans(F.col("body"), F.col("_end"), {"PARAGRAPH": PARAGRAPH_MARK})))
-    m = F.col("_marks")
+    sections, m = F.col("sections"), F.col("_found.paragraphs")
 
     def numbered(x: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(m, i + 1)["start"], F.col("_end"))
+        stop = F.coalesce(F.get(m, i + 1)["start"], F.col("_found.end"))
         home = F.get(F.filter(sections, lambda s: x["start"].between(s["start_char"], s["end_char"])), F.lit(0))["segment_type"]
         return F.struct(F.concat(F.lit("PAR-"), F.translate(x["heading"], "[]()", "")).alias("segment_id"), x["heading"].alias("heading"), x["start"].alias("start_char"), stop.alias("end_char"), x["text"].alias("text"), x["word_count"].alias("word_count"), F.coalesce(home, F.lit("DETAILED_DESCRIPTION")).alias("section_affinity"), F.lit(False).alias("fallback_split"))
 
@@ -128,17 +159,13 @@ def with_paragraphs(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
         return F.struct(F.format_string("PAR-%04d", i + 1).alias("segment_id"), F.format_string("Paragraph %d", i + 1).alias("heading"), F.lit(0).alias("start_char"), F.length(x["text"]).alias("end_char"), x["text"].alias("text"), _count(x["text"]).alias("word_count"), x["home"].alias("section_affinity"), F.lit(True).alias("fallback_split"))
 
     own = F.filter(F.transform(m, numbered).cast(PARAGRAPHS), lambda p: p["text"] != "")
-    return kept(marked.withColumn("paragraphs", F.when(F.size(m) >= 2, own).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))).drop("_marks", "_end"))
+    return kept(docs.withColumn("paragraphs", F.when(F.size(m) >= 2, own).otherwise(F.transform(blocks, plain).cast(PARAGRAPHS))))
 
 
 def with_claims(docs: DataFrame) -> DataFrame:
     """Adds `claims`: number, text, kind, cited claims, preamble, transitional phrase and limitations of each claim."""
-    of_section = F.get(F.filter(F.col("sections"), lambda s: s["segment_type"] == "CLAIMS"), F.lit(0))["text"]
-    of_header = F.get(F.split(F.col("body"), HEADER_PATTERNS["CLAIMS"], 2), F.lit(1))
-    text = F.coalesce(F.when(of_section != "", of_section), of_header, F.lit(""))
-    marked = kept(docs.withColumn("_own", text).withColumn("_marks", spans(F.col("_own"), F.length("_own"), {"CLAIM": CLAIM_MARK})))
-    parts = F.transform("_marks", lambda m: F.struct(F.regexp_extract(m["heading"], r"(?U)\d+", 0).try_cast("long").alias("claim_id"), tx.strip(F.get(F.split(m["text"], CLAIM_END, 2), F.lit(0))).alias("text")))
-    split = kept(marked.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != ""))).drop("_own", "_marks"))
+    parts = F.transform("_found.claims", lambda m: F.struct(F.regexp_extract(m["heading"], r"(?U)\d+", 0).try_cast("long").alias("claim_id"), tx.strip(F.get(F.split(m["text"], CLAIM_END, 2), F.lit(0))).alias("text")))
+    split = kept(docs.withColumn("_parts", F.filter(parts, lambda c: c["claim_id"].isNotNull() & (c["text"] != ""))).drop("_found"))
 
     def phrase(c: Column) -> Column:
         out = F.lit("")
@@ -169,7 +196,7 @@ def with_claims(docs: DataFrame) -> DataFrame:
 
 def segmented(docs: DataFrame, stop_at_claims: bool = False) -> DataFrame:
     """docs(doc_id, title, abstract, full_text) with sections, paragraphs, claims and stats."""
-    out = with_claims(with_paragraphs(with_sections(docs), stop_at_claims))
+    out = with_claims(with_paragraphs(with_sections(marked(docs, stop_at_claims))))
     stats = F.struct(
         F.length("body").alias("total_chars"), _count(F.col("body")).alias("total_words"), F.size("sections").alias("section_count"), F.size("paragraphs").alias("paragraph_count"), F.size("claims").alias("claim_count"),
         F.size(F.filter("claims", lambda c: c["claim_type"] == "INDEPENDENT")).alias("independent_claims"), F.size(F.filter("claims", lambda c: c["claim_type"] == "DEPENDENT")).alias("dependent_claims"),

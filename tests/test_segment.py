@@ -78,3 +78,23 @@ def test_paragraphs_stop_at_claims(spark):
 def test_control_characters_in_claims(spark):
     (r,) = segments(spark, "CLAIMS\n1. A \x01thing\x02 of parts.\nClaim 2: The thing of claim 1.\n")
     assert [(c.claim_id, c.text) for c in r.claims] == [(1, "A \x01thing\x02 of parts."), (2, "The thing of claim 1.")]
+
+
+def test_one_pass_through_python(spark):
+    rows = spark.createDataFrame([(1, "T", "", SAMPLE)], "doc_id int, title string, abstract string, full_text string")
+    plan = segment.segmented(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_marks_do_not_depend_on_the_parts_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    texts, found = pa.array([SAMPLE, None, "", "CLAIMS:\n\nCLAIMS:\n1. A thing.\n", "x" * 200, SAMPLE]), []
+    monkeypatch.setattr(segment.F, "arrow_udf", lambda f, kind: lambda c: found.append(f))
+    for held in (1, 300, 1 << 20):
+        monkeypatch.setattr(segment, "_HELD", held)
+        segment.marks(None)
+        got = found[-1](texts)
+        assert len(got) == len(texts)
+        found[-1] = got
+    assert found[0].equals(found[1]) and found[1].equals(found[2])
