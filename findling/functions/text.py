@@ -105,7 +105,7 @@ def _counted(c: Column, find: Callable[[str], list[str]], good: Callable[[str],
 def counted_terms(c: Column) -> Column:
     """Number of terms() and term_counts() of them, counted by an Arrow function: expressions with lambdas run word by word.
     What a letter is, Java's version of Unicode says here too."""
-    stop, parted = frozenset(MATCHING_STOPWORDS), F.regexp_replace(F.lower(present(c)), r"[^\p{L}\p{N}_]+", " ")
+    stop, parted = frozenset(MATCHING_STOPWORDS), F.regexp_replace(F.lower(present(c)), r"[^\p{L}\p{N}_ ]+", " ")
     return _counted(parted, str.split, lambda t: t.isascii() and "_" not in t and t not in stop)
 
 
@@ -116,7 +116,7 @@ def counted_words(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Single spaces, at most one empty line in a row, nothing at the ends."""
-    return strip(F.regexp_replace(F.regexp_replace(present(c), "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(present(c), "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n"))
 
 
 def unix_lines(c: Column) -> Column:
