@@ -47,7 +47,7 @@ def evaluate_strategies(engine: Engine, queries: DataFrame, out_path: str | None
 def mine_training_sets(engine: Engine, queries: DataFrame, out_path: str) -> DataFrame:
     """Writes train and val pairs and triples; returns their counts."""
     split = mine.stratified(queries)
-    found = mine.negatives(split, engine.lexical(split), engine.dense(split))
+    found = written(mine.negatives(split, engine.lexical(split), engine.dense(split)), "negatives")
     texts = engine.docs.select("doc_id", tx.pair_text(F.col("title"), F.col("abstract")).alias("doc_text"))
     pairs, triples = mine.training_sets(split, found, texts)
     tables.write_json(pairs, f"{out_path}/pairs", "overwrite", "split")

@@ -457,12 +457,12 @@ def rf_boundary_metrics(spark, d):
 
 
 def placed(spark, d):
-    return mine.positions(corpus(spark, d).select("doc_id", "title", "abstract"))
+    return mine.positions(table(spark, d, "documents").select("doc_id"))
 
 
 def targets(spark, d):
     n = table(spark, d, "documents").count()
-    return mine.labelled_queries(placed(spark, d), n, min(200, n // 4))
+    return mine.labelled_queries(placed(spark, d), corpus(spark, d).select("doc_id", "title"), n, min(200, n // 4))
 
 
 @query
@@ -548,8 +548,6 @@ def embedding_cache(spark, d):
     path = fresh_path(spark, "cache")
     own = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
     tables.write_json(own.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(0).cast("float"))), path, "append")
-    import time
-
     time.sleep(1.1)  # the later file counts, and some stores keep whole seconds
     tables.write_json(own, path, "append")
     return tables.read_cache(spark, path).select("doc_id", F.size("embedding").alias("size"), F.round(vx.norm(F.col("embedding")), 5).alias("norm"))

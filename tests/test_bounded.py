@@ -99,3 +99,34 @@ def test_counted_words_are_those_of_the_expressions(spark):
     for plain, counted in ((tx.terms, tx.counted_terms), (tx.lower_words, tx.counted_words)):
         for r in df.select(tx.term_counts(plain(F.col("x"))).alias("p"), F.size(plain(F.col("x"))).alias("n"), counted(F.col("x")).alias("q")).collect():
             assert r.p == r.q.own and r.n == r.q.dl
+
+
+def test_only_ids_are_numbered_and_few_texts_are_made(spark, monkeypatch):
+    from findling.operators import mine
+    from findling.plans import queries as q
+
+    real, told = mine.positions, []
+    monkeypatch.setattr(mine, "positions", lambda docs, *more: told.append(docs.columns) or real(docs, *more))
+    pairs, _ = q.mined(spark, "/root/testdata/sf0.001")
+    assert told == [["doc_id"]]
+    assert "documents.parquet" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reranked_texts_are_not_shuffled(spark):
+    from findling.operators import rerank
+
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("steel "), 50).alias("doc_text")).repartition(4)
+    first = spark.createDataFrame([(1, 7, 1, 2.0), (1, 9, 2, 1.0)], "query_id long, doc_id long, rank int, score double")
+    plan = rerank.rerank(first, spark.createDataFrame([(1, "steel")], "query_id long, query string"), docs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [doc_id" in plan and "LeftSemi" in plan
+
+
+def test_ingest_stream_lands_one_file_for_each_part(spark, monkeypatch, tmp_path):
+    from findling.plans import queries as q
+
+    monkeypatch.setattr(q, "fresh_path", lambda _, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(q, "documents", lambda spark, d: spark.range(60, numPartitions=6).select(F.col("id").alias("doc_id"), F.lit("A text.").alias("text")))
+    got = {r.doc_id: r.version for r in q.QUERIES["ingest_stream"](spark, "").collect()}
+    assert len(list((tmp_path / "landing").glob("part-*"))) == 12
+    assert got == {str(k): "second" if k % 5 == 0 else "first" for k in range(60)}
+    assert len(list((tmp_path / "log").glob("batch=*"))) == 2
