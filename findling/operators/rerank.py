@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from findling.functions import text as tx
 from findling.functions.vectors import sigmoid
+from findling.operators.mine import of_ids
 from findling.operators.retrieve import DIGITS, ranked
+from findling.sources.shared import written
 
 
 def overlap_logit(query: Column, text: Column) -> Column:
@@ -28,7 +30,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int =
     first = candidates.select("query_id", "doc_id", F.col("rank").alias("stage1_rank"), F.col("score").alias("stage1_score"))
     if scorer is None:
         return first.filter(F.col("stage1_rank") <= k).withColumn("rank", F.col("stage1_rank")).withColumn("score", F.col("stage1_score"))
-    pairs = docs.select("doc_id", "doc_text").join(first, "doc_id").join(queries.select("query_id", "query"), "query_id")
+    first = written(first, "candidates")  # of a known size, so that they go to the texts if they are few
+    pairs = of_ids(docs.select("doc_id", "doc_text"), first).join(first, "doc_id").join(queries.select("query_id", "query"), "query_id")
     scored = pairs.withColumn("raw_logit", scorer(F.col("query"), F.col("doc_text"))).drop("query", "doc_text")
     best = ranked(scored, k, F.desc("raw_logit"), F.asc("stage1_rank"))
     return best.withColumn("score", F.round(sigmoid(F.col("raw_logit")), DIGITS)).withColumn("rank_shift", F.col("stage1_rank") - F.col("rank"))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling.functions import text as tx
-from findling.operators import evaluate, rerank, retrieve, segment
+from findling.operators import evaluate, mine, rerank, retrieve, segment
 from findling.operators.index import Index, build, build_fields
 from findling.sources import tables
+from findling.sources.shared import written
 from findling.streaming.ingest import Table, ingest_batch
 
 MODES, SEGMENTERS = ("hybrid", "bm25", "dense"), ("rule", "ml", "llm")
@@ -85,7 +86,8 @@ class Engine:
         else:
             found = found.filter(F.col("rank") <= top_k)
         shown = [c for c in ("title", "abstract", "category") if c in self.docs.columns]
-        return self.docs.select("doc_id", *shown).join(found, "doc_id", "right")
+        found = written(found, "found")
+        return mine.of_ids(self.docs.select("doc_id", *shown), found).join(found, "doc_id", "right")
 
     def search(self, q: str, mode: str = "hybrid", rerank_hits: bool = True, top_k: int = 10, top_k_candidates: int = CANDIDATES, explain: bool = False) -> dict:
         """One query: a dictionary with the hits (top_k of them reach the driver) and, if asked for, the plan."""
@@ -152,8 +154,8 @@ class Engine:
     def strategies(self, queries: DataFrame, k: int = CANDIDATES) -> dict[str, DataFrame]:
         """Per-query metrics of four strategies over queries(query_id, query, relevant_doc_id)."""
         known = queries.select("query_id", "relevant_doc_id")
-        lexical, dense = self.lexical(queries, k), self.dense(queries, k)
-        fused = retrieve.fuse(lexical, dense, k)
+        lexical, dense = written(self.lexical(queries, k), "lexical"), written(self.dense(queries, k), "dense")
+        fused = written(retrieve.fuse(lexical, dense, k), "fused")
         texts = self.docs.select("doc_id", tx.pair_text(F.col("title"), F.col("abstract")).alias("doc_text"))
         runs = {"bm25": lexical, "dense": dense, "hybrid": fused, "hybrid_rerank": rerank.rerank(fused, queries, texts, 10, self.scorer)}
         return {name: evaluate.metrics(evaluate.ranks(hits, known)) for name, hits in runs.items()}
